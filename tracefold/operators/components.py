@@ -9,7 +9,7 @@ task.  Every round is written to the scratch area and read back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tracefold.session import materialize
 
@@ -37,12 +37,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return to_low.unionByName(own).filter("u <> v").distinct()
 
 
-def _edge_state(edges: DataFrame) -> tuple:
-    row = edges.agg(
+def _write_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Write a round's edges; the write itself observes their count and checksum."""
+    seen = Observation()
+    observed = edges.observe(
+        seen,
         F.count(F.lit(1)).alias("n"),
         F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return row["n"], row["s"]
+    )
+    written = materialize(observed, "edges")
+    return written, (seen.get["n"], seen.get["s"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -50,22 +54,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     ``component`` is the smallest node of the component.
     """
-    current = materialize(
+    current, state = _write_edges(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .filter("u <> v")
-        .distinct(),
-        "edges",
+        .distinct()
     )
-    state = _edge_state(current)
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        following = materialize(_small_star(_large_star(current)), "edges")
-        next_state = _edge_state(following)
-        current = following
-        if next_state == state:
+        before = state
+        current, state = _write_edges(_small_star(_large_star(current)))
+        if state == before:
             break
-        state = next_state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Settled edges form stars: every node points at the smallest node of its component.

@@ -305,7 +305,7 @@ def fold_class_counts(rows: DataFrame, scheme: LabelScheme) -> DataFrame:
             F.col("t.task").alias("task"),
             F.col("t.class").alias("class"),
         )
-        .agg(F.sum("n").alias("count"))
+        .agg(F.sum("r.n").alias("count"))
     )
     keys = (
         cells.select("family", "fold", "project")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("structured",)
+_MODULES = ("structured", "text", "audit")
 
 
 def load() -> tuple[dict, dict]:
