@@ -337,19 +337,19 @@ def schema_capitalization_differences(spark, sf_dir):
 
 
 @query(
-    "event_relation_fields",
-    """
-select distinct role || '-' || word as "column" from
- (select role, unnest(string_split(lower(text), ' ')) as word from conversations)
-where word like '%dupe%' or word like '%depend%' or word like '%block%'
+    "schema_relation_fields",
+    _COLUMNS + """
+select distinct (case project when 'src1' then 'Depends on ' when 'src2' then 'Dupe of ' else 'Plain ' end) || "column" as "column"
+from c where project in ('src1', 'src2')
 """,
 )
-def event_relation_fields(spark, sf_dir):
-    """Conversation words that carry a relation term, as field names per role."""
-    words = B.table(spark, sf_dir, "conversations").select(
-        "role", F.explode(F.split(F.lower("text"), " ")).alias("word")
-    )
-    return C.relation_fields(words.select(F.concat_ws("-", "role", "word").alias("column")))
+def schema_relation_fields(spark, sf_dir):
+    """Header words of two sources carry a relation prefix; only those must be found."""
+    prefix = F.when(F.col("project") == "src1", "Depends on ").when(
+        F.col("project") == "src2", "Dupe of "
+    ).otherwise("Plain ")
+    named = _columns(spark, sf_dir).select(F.concat(prefix, F.col("column")).alias("column"))
+    return C.relation_fields(named)
 
 
 @query(
