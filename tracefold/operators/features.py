@@ -49,30 +49,30 @@ def _slots(n: Column) -> Column:
     )
 
 
+def _token_runs(tokens: Column, n: int) -> Column:
+    """Every run of n neighbouring tokens, joined by one space."""
+    return F.transform(
+        _slots(F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")
+    )
+
+
+def _substrings(text: Column, n: int) -> Column:
+    return F.transform(
+        _slots(F.length(text) - (n - 1)), lambda i: F.substring(text, i + 1, F.lit(n))
+    )
+
+
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
-    grams = []
-    for n in range(low, high + 1):
-        if n == 1:
-            grams.append(tokens)
-        else:
-            grams.append(
-                F.transform(
-                    _slots(F.size(tokens) - (n - 1)),
-                    lambda i, n=n: F.array_join(F.slice(tokens, i + 1, n), " "),
-                )
-            )
-    return F.concat(*grams)
+    return F.concat(
+        *[tokens if n == 1 else _token_runs(tokens, n) for n in range(low, high + 1)]
+    )
 
 
 def padded_char_ngrams(word: Column, low: int, high: int) -> Column:
     """All n-grams of `` word ``; a padded word shorter than ``low`` is one term."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
-    size = F.length(padded)
-    grams = [
-        F.transform(_slots(size - (n - 1)), lambda i, n=n: F.substring(padded, i + 1, F.lit(n)))
-        for n in range(low, high + 1)
-    ]
-    return F.when(size < low, F.array(padded)).otherwise(F.concat(*grams))
+    grams = [_substrings(padded, n) for n in range(low, high + 1)]
+    return F.when(F.length(padded) < low, F.array(padded)).otherwise(F.concat(*grams))
 
 
 def term_counts(docs: DataFrame, spec: TermSpec) -> DataFrame:

@@ -133,7 +133,7 @@ def ranking_areas(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     steps = scored.groupBy(*keys, "score").agg(
         F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
-    run = with_running_sums(steps, list(keys), [F.col("score").desc()], ["pos", "neg"])
+    run = with_running_sums(steps, list(keys), [-F.col("score")], ["pos", "neg"])
     before_pos = F.col("pos_through") - F.col("pos")
     before_neg = F.col("neg_through") - F.col("neg")
     precision = F.col("pos_through") / (F.col("pos_through") + F.col("neg_through"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("structured", "text", "audit", "evaluation")
+_MODULES = ("structured", "text", "audit", "evaluation", "samples", "features")
 
 
 def load() -> tuple[dict, dict]:
