@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tracefold.protocol import TEXT_SEPARATOR
 
@@ -38,23 +38,40 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """True for the empty string and for white space only."""
-    return c.rlike(rf"(?U)\A{SPACE}*\z")
+    """True for the empty string and for white space only; one character settles most."""
+    first = F.substring(c, 1, 1)
+    return (first == "") | (first.rlike(f"(?U){SPACE}") & c.rlike(rf"(?U)\A{SPACE}*\z"))
 
 
 def normalize_lines(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
+    fixed = F.when(c.contains("\r"), F.regexp_replace(c, r"\r\n?", "\n")).otherwise(c)
+    return F.coalesce(fixed, F.lit(""))
+
+
+def may_change_under_nfc(c: Column) -> Column:
+    """False for every text that NFC leaves alone; cheap tests decide for most texts."""
+    return (
+        (F.octet_length(c) != F.length(c))
+        & c.rlike(r"[^\x{0}-\x{2ff}]")
+        & c.rlike(rf"[^{NFC_STABLE}]")
+    )
 
 
 def normalize_nfc(c: Column) -> Column:
     """NFC; only texts holding a code point that NFC could touch travel to Python."""
-    return F.coalesce(_nfc(F.when(c.rlike(rf"[^{NFC_STABLE}]"), c)), c)
+    return F.coalesce(_nfc(F.when(may_change_under_nfc(c), c)), c)
 
 
 def canonical_text(c: Column) -> Column:
     return normalize_nfc(normalize_lines(c))
 
 
+def with_canonical_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Canonical columns in two projections, so that no step is evaluated twice."""
+    lined = df.withColumns({c: normalize_lines(F.col(c)) for c in columns})
+    return lined.withColumns({c: normalize_nfc(F.col(c)) for c in columns})
+
+
 def combined_text(summary: Column, description: Column) -> Column:
     return F.concat(summary, F.lit(TEXT_SEPARATOR), description)
 
@@ -67,21 +84,45 @@ def exact_text_hash(summary: Column, description: Column) -> Column:
     return F.sha2(joined, 256)
 
 
-def _either(pattern: str, *fields: Column) -> Column:
-    hit = F.lit(False)
-    for field in fields:
-        hit = hit | field.rlike(pattern)
-    return hit
+def _caseless(field: Column) -> Column:
+    """Lower case with the letters that case-insensitive matching folds onto ASCII."""
+    return F.lower(F.translate(field, "ſıİ", "sii"))
+
+
+def _has_any(field: Column, *words: str) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | field.contains(word)
+    return found
+
+
+def _has_html(field: Column) -> Column:
+    return field.contains("<") & field.rlike(f"(?iU){HTML_PATTERN}")
+
+
+def _has_url(field: Column) -> Column:
+    return (field.contains("://") | _caseless(field).contains("www.")) & field.rlike(
+        f"(?iU){URL_PATTERN}"
+    )
+
+
+def _has_email(field: Column) -> Column:
+    return field.contains("@") & field.rlike(f"(?U){EMAIL_PATTERN}")
+
+
+def _has_code(field: Column) -> Column:
+    words = ("traceback", "exception", "class", "public", "private", "protected", "```")
+    frame = field.contains("(") & field.contains(":")
+    return (frame | _has_any(_caseless(field), *words)) & field.rlike(f"(?iU){CODE_PATTERN}")
 
 
 def content_signals(summary: Column, description: Column) -> dict[str, Column]:
-    fields = (summary, description)
-    return {
-        "has_html": _either(f"(?iU){HTML_PATTERN}", *fields),
-        "has_url": _either(f"(?iU){URL_PATTERN}", *fields),
-        "has_email": _either(f"(?U){EMAIL_PATTERN}", *fields),
-        "has_code": _either(f"(?iU){CODE_PATTERN}", *fields),
+    """Signals over both fields; a substring test spares most texts the pattern."""
+    tests = {
+        "has_html": _has_html, "has_url": _has_url,
+        "has_email": _has_email, "has_code": _has_code,
     }
+    return {name: test(summary) | test(description) for name, test in tests.items()}
 
 
 def all_blank(*fields: Column) -> Column:

@@ -14,10 +14,10 @@ from tracefold.functions.instants import parse_iso
 from tracefold.functions.scores import percentage
 from tracefold.functions.text import (
     all_blank,
-    canonical_text,
     content_signals,
     exact_text_hash,
     is_blank,
+    with_canonical_text,
 )
 from tracefold.operators.ordering import top_per_group
 
@@ -33,6 +33,8 @@ def row_facts(raw: DataFrame) -> DataFrame:
     text = {c: F.coalesce(c, F.lit("")) for c in ("summary", "description")}
     fields = ("issue_id", "severity", "creation_time")
     base = raw.withColumns({**text, **{c: F.coalesce(c, F.lit("")) for c in fields}})
+    base = base.withColumns({f"_{c}": F.col(c) for c in text})
+    base = with_canonical_text(base, *[f"_{c}" for c in text])
     summary, description = F.col("summary"), F.col("description")
     instant, aware = parse_iso(F.col("creation_time"))
     return base.select(
@@ -54,7 +56,7 @@ def row_facts(raw: DataFrame) -> DataFrame:
         all_blank(*[F.col(c) for c in raw.columns if c != "source_project"
                     and dict(raw.dtypes)[c] == "string"]).alias("fully_empty"),
         *[flag.alias(name) for name, flag in content_signals(summary, description).items()],
-        exact_text_hash(canonical_text(summary), canonical_text(description)).alias("text_sha256"),
+        exact_text_hash(F.col("_summary"), F.col("_description")).alias("text_sha256"),
     )
 
 

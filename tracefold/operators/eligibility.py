@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracefold.functions.ids import stable_id
 from tracefold.functions.instants import parse_aware
 from tracefold.functions.text import (
-    canonical_text,
     combined_text,
     exact_text_hash,
     is_blank,
     strip,
+    with_canonical_text,
 )
 from tracefold.protocol import IntegrityError, LabelScheme
 
@@ -36,13 +36,11 @@ def with_targets(df: DataFrame, scheme: LabelScheme, label: str = "severity_raw"
 
 def row_status(raw: DataFrame, scheme: LabelScheme) -> DataFrame:
     """Add the parsed fields and ``status``; an excluded label outranks bad time or text."""
-    parsed = raw.withColumns(
+    parsed = with_canonical_text(raw, "summary", "description").withColumns(
         {
             "issue_id": strip(F.coalesce("issue_id", F.lit(""))),
             "severity_raw": F.coalesce("severity", F.lit("")),
             "creation_time": parse_aware(F.coalesce("creation_time", F.lit(""))),
-            "summary": canonical_text(F.col("summary")),
-            "description": canonical_text(F.col("description")),
             "dupe_of": strip(F.coalesce("dupe_of", F.lit(""))),
         }
     ).drop("severity")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tracefold.functions.text import SPACE
 from tracefold.functions.windows import word_tokens
-from tracefold.session import materialize, scratch_path
+from tracefold.session import materialize, scratch_path, shuffle_width
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,9 @@ def padded_char_ngrams(word: Column, low: int, high: int) -> Column:
 
 def term_counts(docs: DataFrame, spec: TermSpec) -> DataFrame:
     """(stable_id, term, tf) of ``docs`` (stable_id, text), partitioned by document."""
-    placed = docs.select("stable_id", "text").repartition("stable_id")
+    # An explicit width: terms outgrow the text, so small partitions must not be merged.
+    narrow = docs.select("stable_id", "text")
+    placed = narrow.repartition(shuffle_width(narrow), "stable_id")
     if spec.analyzer == "word":
         terms = word_ngrams(F.col("tokens"), spec.ngram_min, spec.ngram_max)
         return (

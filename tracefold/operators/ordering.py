@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracefold.session import materialize
+from tracefold.session import materialize, shuffle_width
 
 _RANGE_BITS = 33  # monotonically_increasing_id: partition above, row index below
 
@@ -26,7 +26,7 @@ def range_sorted(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
         named = named.withColumn(f"_key{i}", key)
         names.append(f"_key{i}")
     ordered = (
-        named.repartitionByRange(*names)
+        named.repartitionByRange(shuffle_width(df), *names)
         .sortWithinPartitions(*names)
         .withColumn("_seq", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_seq", _RANGE_BITS))

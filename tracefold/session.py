@@ -57,6 +57,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _leaf_bytes(df: DataFrame) -> int:
+    """Bytes of the files ``df`` reads, from the planner's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def shuffle_width(df: DataFrame, bytes_per_partition: int = 128 << 20) -> int:
+    """Partitions for an explicit shuffle of ``df``.
+
+    At least the configured number; more when the files ``df`` reads are so large that
+    partitions of that number would not fit an executor.
+    """
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, min(-(-_leaf_bytes(df) // bytes_per_partition), 100_000))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash out a small scan of long texts so that every core gets a share.
+
+    A file with one row group is one task, however slow its texts are to process.  From
+    128 MB per core on, the scan has enough tasks of its own and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if _leaf_bytes(df) >= cores * (128 << 20):
+        return df
+    return df.repartition(cores, key)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table written by this application."""
     app = spark.sparkContext.applicationId

@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracefold.functions.ids import stable_id
 from tracefold.operators.eligibility import eligible_rows, row_status, with_targets
 from tracefold.protocol import PRIORITY, SEVERITY
+from tracefold.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def structured_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as labelled, time-stamped rows: project = market segment."""
     orders = table(spark, sf_dir, "orders").select(
@@ -59,7 +64,7 @@ _INSTANT = "timestamp '2020-01-01 00:00:00' + make_interval(0,0,0,0,cast((doc_id
 
 def raw_text_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw text rows: summary = first line, description = the rest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents_table(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return docs.select(
         F.col("source").alias("source_project"),
         (F.col("doc_id") + 1).alias("record_number"),
@@ -109,7 +114,7 @@ def text_free(rows: DataFrame) -> DataFrame:
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as raw rows: summary = address, description = markup."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
     return pages.select(
         F.regexp_extract("url", r"^([a-z]+)://", 1).alias("source_project"),
         (F.col("page_id") + 1).alias("record_number"),
