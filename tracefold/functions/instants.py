@@ -7,9 +7,9 @@ from pyspark.sql import Column, functions as F
 from tracefold.functions.text import strip
 
 _DATE = r"(\d{4})-?(\d{2})-?(\d{2})"
-_CLOCK = r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
-_OFFSET = r"(Z|[+-]\d{2}(?::?\d{2})?)?)?"
-_SHAPE = rf"^{_DATE}{_CLOCK}{_OFFSET}$"
+_CLOCK = r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
+_OFFSET = r"([+-]\d{2}(?::?\d{2})?)?)?"
+_SHAPE = rf"(?s)\A{_DATE}{_CLOCK}{_OFFSET}\z"
 
 
 def parse_iso(raw: Column) -> tuple[Column, Column]:
@@ -19,7 +19,7 @@ def parse_iso(raw: Column) -> tuple[Column, Column]:
     fields are assembled into one spelling before the cast, because the cast alone
     also accepts shapes (bare years, zone names) that are not ISO-8601 instants.
     """
-    text = strip(raw)
+    text = F.regexp_replace(strip(raw), r"Z\z", "+00:00")
 
     def part(group: int, default: str) -> Column:
         found = F.regexp_extract(text, _SHAPE, group)
@@ -27,7 +27,7 @@ def parse_iso(raw: Column) -> tuple[Column, Column]:
 
     offset = F.regexp_extract(text, _SHAPE, 8)
     digits = F.regexp_replace(offset, "[^0-9]", "")
-    zone = F.when((offset == "") | (offset == "Z"), "+00:00").otherwise(
+    zone = F.when(offset == "", "+00:00").otherwise(
         F.concat(
             offset.substr(1, 1),
             digits.substr(1, 2),

@@ -9,7 +9,7 @@ task.  Every round is written to the scratch area and read back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tracefold.session import materialize
 
@@ -38,15 +38,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _write_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """Write a round's edges; the write itself observes their count and checksum."""
-    seen = Observation()
-    observed = edges.observe(
-        seen,
+    """Write a round's edges and read their count and checksum back."""
+    written = materialize(edges, "edges")
+    row = written.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-    )
-    written = materialize(observed, "edges")
-    return written, (seen.get["n"], seen.get["s"])
+    ).first()
+    return written, (row["n"], row["s"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

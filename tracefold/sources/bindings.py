@@ -112,9 +112,8 @@ def text_free(rows: DataFrame) -> DataFrame:
     )
 
 
-def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages_as_issues(pages: DataFrame) -> DataFrame:
     """Pages as raw rows: summary = address, description = markup."""
-    pages = spread(table(spark, sf_dir, "pages"), "page_id")
     return pages.select(
         F.regexp_extract("url", r"^([a-z]+)://", 1).alias("source_project"),
         (F.col("page_id") + 1).alias("record_number"),
@@ -126,6 +125,10 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_as_issues(spread(table(spark, sf_dir, "pages"), "page_id"))
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as time-stamped rows: project = event type."""
     return table(spark, sf_dir, "events").select(

@@ -33,6 +33,16 @@ class CsvHeader:
     duplicates: tuple[str, ...]
 
 
+def _starts_with_bom(spark: SparkSession, path: str) -> bool:
+    """The line reader drops a byte-order mark, so the first three bytes are read apart."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+    finally:
+        stream.close()
+
+
 def discover_header(spark: SparkSession, path: str) -> CsvHeader:
     """Delimiter, byte-order mark, columns and repeated names from the first line."""
     lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
@@ -44,7 +54,6 @@ def discover_header(spark: SparkSession, path: str) -> CsvHeader:
     delimiter = header_delimiter(line)
     row = first.select(
         "valid",
-        F.col("line").startswith(_BOM).alias("bom"),
         line.alias("bare"),
         delimiter.alias("delimiter"),
         header_columns(line, delimiter).alias("columns"),
@@ -57,7 +66,7 @@ def discover_header(spark: SparkSession, path: str) -> CsvHeader:
         raise SchemaError(f"{path}: no delimiter found")
     columns = tuple(row["columns"])
     repeated = tuple(dict.fromkeys(c for c in columns if columns.count(c) > 1))
-    return CsvHeader(columns, row["delimiter"], row["bom"], repeated)
+    return CsvHeader(columns, row["delimiter"], _starts_with_bom(spark, path), repeated)
 
 
 def invalid_utf8_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
