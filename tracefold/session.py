@@ -58,9 +58,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def _leaf_bytes(df: DataFrame) -> int:
-    """Bytes of the files ``df`` reads, from the planner's statistics."""
+    """Bytes of the files ``df`` reads; sources of unknown size (near 2**63) count as none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)
 
 
 def shuffle_width(df: DataFrame, bytes_per_partition: int = 128 << 20) -> int:
