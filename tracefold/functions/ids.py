@@ -25,8 +25,8 @@ def issue_sort_columns(issue: Column) -> list[Column]:
     Digit strings of any length compare by (length, text) once leading zeros are
     gone, so no numeric cast can overflow.
     """
-    decimal = issue.rlike(r"\A[0-9]+\z")
-    bare = F.when(decimal, F.regexp_replace(issue, r"\A0+", "")).otherwise("")
+    decimal = (issue != "") & (F.translate(issue, "0123456789", "") == "")
+    bare = F.when(decimal, F.ltrim(issue, F.lit("0"))).otherwise("")
     return [F.when(decimal, 0).otherwise(1), F.length(bare), bare, issue]
 
 

@@ -78,30 +78,42 @@ def resolve_links(rows: DataFrame) -> DataFrame:
     )
 
 
-def hash_components(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(exact_text_hash, component) for every hash of ``rows``."""
+def shared_components(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(exact_text_hash, component) for hashes that several rows or a link touch.
+
+    A hash of one unlinked row is missing here: such a row is its own component.
+    """
     links = resolve_links(rows) if links is None else links
     edges = (
         links.filter("outcome = 'resolved' and exact_text_hash <> target_hash")
         .select(F.col("exact_text_hash").alias("u"), F.col("target_hash").alias("v"))
     )
     labels = connected_components(edges).withColumnRenamed("node", "exact_text_hash")
-    owners = text_owners(rows).select("exact_text_hash", "owner")
     # The link graph is usually a small part of all hashes; its written labels tell
     # the planner whether they can be broadcast.
     labels = materialize(labels, "hash-labels")
+    owners = text_owners(rows)
     named = labels.join(owners, "exact_text_hash").groupBy(
         F.col("component").alias("root")
     ).agg(F.min("owner").alias("component_id"))
     lookup = labels.select("exact_text_hash", F.col("component").alias("root")).join(named, "root")
-    return owners.join(lookup, "exact_text_hash", "left").select(
-        "exact_text_hash", F.coalesce("component_id", "owner").alias("component")
+    found = owners.join(lookup, "exact_text_hash", "left").filter(
+        "row_count > 1 or component_id is not null"
+    )
+    return materialize(
+        found.select("exact_text_hash", F.coalesce("component_id", "owner").alias("component")),
+        "hash-components",
     )
 
 
 def with_components(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Rows plus ``component`` (smallest stable id linked to the row)."""
-    return rows.join(hash_components(rows, links), "exact_text_hash")
+    """Rows plus ``component`` (smallest stable id linked to the row).
+
+    The lookup holds one row per shared hash and was written, so it is broadcast when
+    small; otherwise the rows of a hot hash are split by adaptive skew handling.
+    """
+    joined = rows.join(shared_components(rows, links), "exact_text_hash", "left")
+    return joined.withColumn("component", F.coalesce("component", "stable_id"))
 
 
 def unresolved_links(links: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def with_targets(df: DataFrame, scheme: LabelScheme, label: str = "severity_raw"
 
 def row_status(raw: DataFrame, scheme: LabelScheme) -> DataFrame:
     """Add the parsed fields and ``status``; an excluded label outranks bad time or text."""
-    parsed = with_canonical_text(raw, "summary", "description").withColumns(
+    parsed = raw.withColumns(
         {
             "issue_id": strip(F.coalesce("issue_id", F.lit(""))),
             "severity_raw": F.coalesce("severity", F.lit("")),
@@ -45,15 +45,18 @@ def row_status(raw: DataFrame, scheme: LabelScheme) -> DataFrame:
         }
     ).drop("severity")
     known = F.col("severity_raw").isin(*scheme.accepted, *scheme.excluded)
+    # Canonical text is blank exactly when the raw text is, so the status is known, and
+    # rows can drop out, before any text is rewritten.
+    blank = [is_blank(F.coalesce(c, F.lit(""))) for c in ("summary", "description")]
     status = (
         F.when(F.col("issue_id") == "", "missing_id")
         .when(~known, "unknown_label")
         .when(F.col("severity_raw").isin(*scheme.excluded), "excluded_label")
         .when(F.col("creation_time").isNull(), "bad_timestamp")
-        .when(is_blank(F.col("summary")) & is_blank(F.col("description")), "missing_text")
+        .when(blank[0] & blank[1], "missing_text")
         .otherwise("eligible")
     )
-    return parsed.withColumn("status", status)
+    return with_canonical_text(parsed.withColumn("status", status), "summary", "description")
 
 
 def eligible_rows(statused: DataFrame, scheme: LabelScheme) -> DataFrame:

@@ -61,7 +61,9 @@ def purge_reasons(rows: DataFrame) -> DataFrame:
     """
     cells = materialize(
         rows.groupBy("exact_text_hash", "component", "source_project").agg(
-            F.min("block").alias("within_hash_block")
+            F.min("block").alias("within_hash_block"),
+            F.max("block").alias("_last_block"),
+            F.count_if(F.col("block").isNull()).alias("_candidates"),
         ),
         "purge-cells",
     )
@@ -80,8 +82,11 @@ def purge_reasons(rows: DataFrame) -> DataFrame:
         )
         .drop("component")
     )
-    # Only cells that could purge a row need to meet the rows again.
-    touching = looked_up.filter("component_block is not null")
+    # Only cells with a candidate or with a block after their component's first one can
+    # lose a row; the others, nearly all, do not meet the rows again.
+    touching = looked_up.filter(
+        "component_block is not null and (_candidates > 0 or component_block < _last_block)"
+    ).drop("_last_block", "_candidates")
     joined = rows.join(touching, ["exact_text_hash", "source_project"], "left")
     block = F.col("block")
     beyond = F.lit(BLOCKS + 1)

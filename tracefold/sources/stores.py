@@ -17,6 +17,7 @@ from tracefold.protocol import (
     IntegrityError,
     LockedDataError,
 )
+from tracefold.session import shuffle_width
 
 DEVELOPMENT_COLUMNS = (
     "source_project", "issue_id", "summary", "description", "text_combined",
@@ -94,7 +95,7 @@ def write_memberships(memberships: DataFrame, path: str) -> None:
         memberships.select(
             "family", "fold", "role", "source_project", "issue_id", "stable_id", "creation_time"
         )
-        .repartition("family", "fold", "role", F.crc32("stable_id") % 64)
+        .repartition("family", "fold", "role", F.crc32("stable_id") % shuffle_width(memberships))
         .sortWithinPartitions("family", "fold", "role", "stable_id")
         .write.mode("overwrite")
         .partitionBy("family", "fold", "role")
