@@ -137,7 +137,7 @@ def test_grid_resumes_ranks_and_searches(spark, corpus, tmp_path):
     store = ResultStore(spark, str(tmp_path / "results"))
     G.require_disjoint_fold(corpus, 1)
     start = {"S2": ("WORD", "LOGREG", "BALANCED")}
-    board = G.staged_search(corpus, store, "p", start=start, c_grid=(0.5,), representations=("WORD",), folds=(1, 2, 3))
+    board = G.staged_search(corpus, store, "p", start=start, c_grid=(0.5,), representations=("WORD",), max_iter=5)
     got = {(r["stage"], r["text_view"]): r["rank"] for r in board.collect()}
     assert set(got) == {("S1", "SUMMARY_DESCRIPTION"), ("S2", "SUMMARY_DESCRIPTION"), ("S3", "SUMMARY_DESCRIPTION"),
                         ("S3", "SUMMARY_ONLY"), ("S3", "DESCRIPTION_ONLY")}
@@ -145,7 +145,7 @@ def test_grid_resumes_ranks_and_searches(spark, corpus, tmp_path):
     assert stored.count() == 15 and stored.filter("status = 'SUCCESS'").count() == 15
     assert stored.filter("reused").count() == 3
     before = stored.count()
-    G.staged_search(corpus, store, "p", start=start, c_grid=(0.5,), representations=("WORD",), folds=(1, 2, 3))
+    G.staged_search(corpus, store, "p", start=start, c_grid=(0.5,), representations=("WORD",), max_iter=5)
     assert store.read().count() == before
     with pytest.raises(RuntimeError, match="without a row"):
         G.fold_rows(G.Corpus(corpus.rows.limit(3), corpus.folds, SEVERITY), 1, "TRAIN")
@@ -156,7 +156,7 @@ def test_multiclass_fits_and_failures(spark, corpus):
     assert width == 16
     named = [d.withColumnRenamed("target_s3", "y_true") for d in (train, validation)]
     for classifier in ("LOGREG", "LINEARSVC"):
-        row = N.fit_and_score(*named, "S3", SEVERITY.orders, N.FitConfig(classifier, "BALANCED", 10.0, 30))
+        row = N.fit_and_score(*named, "S3", SEVERITY.orders, N.FitConfig(classifier, "BALANCED", 10.0, 10))
         assert row["status"] == "SUCCESS", row
         assert row["metrics"]["macro_f1"] > 0.5
         assert sum(map(sum, row["confusion_matrix"])) == validation.count()

@@ -219,6 +219,7 @@ def staged_search(
     c_grid: Sequence[float],
     representations: Sequence[str],
     folds: Sequence[int] = (1, 2, 3),
+    max_iter: int = 100,
 ) -> DataFrame:
     """C grid, then representation, then text view; each stage starts from the winner before.
 
@@ -226,20 +227,20 @@ def staged_search(
     equals the winner of stage two and is copied, not fitted again.
     """
     first = [
-        Experiment("S1", task, fold, clf, weight, c, rep)
+        Experiment("S1", task, fold, clf, weight, c, rep, max_iter=max_iter)
         for task, (rep, clf, weight) in start.items() for c in c_grid for fold in folds
     ]
     board = staged_board(run_grid(corpus, first, store, provenance))
     best_c = {t: _winner(board, "S1", t)["c"] for t in start}
     second = [
-        Experiment("S2", task, fold, clf, weight, best_c[task], rep)
+        Experiment("S2", task, fold, clf, weight, best_c[task], rep, max_iter=max_iter)
         for task, (_, clf, weight) in start.items() for rep in representations for fold in folds
     ]
     results = run_grid(corpus, second, store, provenance)
     board = staged_board(results)
     winners = {
         t: Experiment("S2", t, 0, start[t][1], start[t][2], best_c[t],
-                      _winner(board, "S2", t)["representation"])
+                      _winner(board, "S2", t)["representation"], max_iter=max_iter)
         for t in start
     }
     third, copies = [], []
