@@ -128,3 +128,29 @@ def test_result_store_resumes_and_refuses_drift(spark, tmp_path):
     methods = spark.createDataFrame([("S2", "LINEARSVC")], "task string, classifier string")
     failed = H.failing_checks(H.result_checks(flat, {"provenance": "p1"}, methods), ["experiment_id"]).collect()
     assert [r["check"] for r in failed] == ["classifier_matches"]
+
+
+def test_finalise_checks_and_reports_stored_results(spark, tmp_path):
+    from tracefold.plans.modelling import finalise
+
+    store = ResultStore(spark, str(tmp_path / "results"))
+    store.append([
+        {"experiment_id": f"e{fold}", "stage": "FUSION", "task": "S2", "fold": fold, "status": "SUCCESS", "provenance": "p",
+         "classifier": "LOGREG", "metrics": (0.5 + fold / 10, 0.5, 0.6, 0.7), "fit_seconds": 1.5, "prediction_seconds": 0.5,
+         "reused": False, "warnings": [], "per_class": [("HIGH_IMPACT", 0.5, 0.5, 0.5, 3)]}
+        for fold in (1, 2, 3)
+    ])
+    methods = spark.createDataFrame([("S2", "LOGREG")], "task string, classifier string")
+    before = spark.createDataFrame([("S2", "0.5|0.8|0.7", 0.6)], "task string, fold_macro_f1 string, mean_macro_f1 double")
+    systems = before.withColumn("system", F.lit("old"))
+    made = finalise(store.read(), ("S2",), {"provenance": "p"}, methods, before, systems)
+    got = made["comparison"].first()
+    assert got["current_folds"] == "0.6000000000|0.7000000000|0.8000000000"
+    assert (got["fold_wins"], got["new_winner"]) == (2, "YES")
+    assert made["systems"].first()["absolute_delta"] == pytest.approx(0.1)
+    assert {r["task"]: r["fit_seconds"] for r in made["runtime"].collect()} == {"S2": 4.5, "TOTAL": 4.5}
+    assert made["per_class"].count() == 3
+    with pytest.raises(RuntimeError, match="matrix"):
+        finalise(store.read().filter("fold < 3"), ("S2",), {"provenance": "p"}, methods, before, systems)
+    with pytest.raises(RuntimeError, match="checks"):
+        finalise(store.read(), ("S2",), {"provenance": "other"}, methods, before, systems)

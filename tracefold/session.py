@@ -67,11 +67,16 @@ def _leaf_bytes(df: DataFrame) -> int:
 def shuffle_width(df: DataFrame, bytes_per_partition: int = 128 << 20) -> int:
     """Partitions for an explicit shuffle of ``df``.
 
-    At least the configured number; more when the files ``df`` reads are so large that
-    partitions of that number would not fit an executor.
+    The configured number; more when the files ``df`` reads are so large that partitions
+    of that number would not fit an executor, fewer (one per core or per megabyte) when
+    they are so small that most partitions would be empty.
     """
+    size = _leaf_bytes(df)
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, min(-(-_leaf_bytes(df) // bytes_per_partition), 100_000))
+    if 0 < size < configured << 20:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return max(min(cores, configured), -(-size // (1 << 20)))
+    return max(configured, min(-(-size // bytes_per_partition), 100_000))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
