@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tracefold.llm import bitmap
 from tracefold.llm.words import U, mix, pieces, shingles, word_hashes
 from tracefold.operators.components import connected_components
 from tracefold.session import materialize
@@ -70,9 +71,14 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def _describe(k: int, with_sets: bool):
+def _describe(k: int, with_sets: bool, asked=None):
+    """Signatures of all texts, or the sets of those whose bit is set in ``asked``."""
+
     def run(batches):
         for batch in batches:
+            if asked is not None:
+                slots = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(bitmap.hits(asked.value, slots)))
             ids = batch.column(0)
             for a, b, data, offsets in pieces(batch.column(1)):
                 h, first = word_hashes(data, offsets)
@@ -178,10 +184,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         "minhash-stars",
     )
     wanted = stars.select("node").union(stars.select(F.col("hub").alias("node"))).distinct()
+    wanted = materialize(wanted, "minhash-wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(wanted, bitmap.slot_of_id("node")))
     sets = materialize(
-        texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(_describe(words, True), "doc_id long, n long, shingles array<long>")
-        .select(F.col("doc_id").alias("node"), "shingles").dropDuplicates(["node"]),
+        texts.withColumn("_slot", bitmap.slot_of_id("doc_id"))
+        .mapInArrow(_describe(words, True, shared), "doc_id long, n long, shingles array<long>")
+        .select(F.col("doc_id").alias("node"), "shingles").join(wanted, "node", "left_semi")
+        .dropDuplicates(["node"]),
         "minhash-sets",
     )
     close = stars.filter(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")

@@ -32,9 +32,10 @@ TILTS = (-0.6, 0.0, 0.6)  # early, even and late sources, repeating like the wei
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of each text."""
+def sizes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words of each text) and the columns to carry."""
     return docs.select(
+        *carry,
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -74,9 +75,9 @@ def position_of(words: Column, target: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-12, share).otherwise((2 * share) / (slope + root))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, offset, tilt; one row per document."""
-    sized = materialize(sizes(docs).withColumn("_order", F.md5(F.col("doc_id").cast("string"))), "mix-sizes")
+    sized = materialize(sizes(docs, carry).withColumn("_order", F.md5(F.col("doc_id").cast("string"))), "mix-sizes")
     goal = materialize(targets(sized), "mix-targets")
     # Equal sources must meet, null ones too, so the group is a non-null key.
     named = sized.withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
@@ -90,7 +91,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rest = wanted - full * F.col("source_size")
     partial = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("offset")))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
+        *carry, "doc_id", "source", "size", "source_size", "target",
         (full * F.col("size") + partial).alias("taken"), "offset", "tilt",
     )
 
@@ -110,5 +111,11 @@ def entries(mixed: DataFrame) -> DataFrame:
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
-    """The entries in training order: range-sorted by position."""
-    return entries(mix(docs)).orderBy("position", "source", "doc_id", "epoch")
+    """Training order: columns of ``docs`` with epoch, words and position, range-sorted.
+
+    Rows are numbered in a written copy, so that repeated ids and rows stay apart.
+    """
+    fresh = [c for c in docs.columns if c.lower() not in ("epoch", "words", "position", "_row")]
+    numbered = materialize(docs.select(*fresh).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    order = entries(mix(numbered, ("_row",))).select("_row", "epoch", "words", "position")
+    return numbered.join(order, "_row").orderBy("position", "doc_id", "_row", "epoch").drop("_row")
