@@ -28,6 +28,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_media_columns")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.minhash import near_duplicates
@@ -65,19 +79,28 @@ levels as (
     / sum(w) over (order by cap / w, nth rows between current row and unbounded following) as level
   from sources),
 fixed as (select level from levels where cap >= level * w order by cap / w, nth limit 1),
-goals as (select source, least(cap, w * (select level from fixed))::double as target, source_size from levels),
+goals as (
+  select source, least(cap, w * (select level from fixed))::double as target, source_size, ([-0.6, 0.0, 0.6])[nth % 3 + 1]::double as tilt
+  from levels),
 wanted as (
-  select s.doc_id, s.size, s.source_size, g.target, s.pos, round(g.target)::bigint as total
-  from summed s join goals g on s.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-  (case when source_size > 0 then (total // source_size) * size
-        + greatest(0, least(size, total - (total // source_size) * source_size - pos)) else 0 end)::bigint as taken
-from wanted
+  select s.doc_id, s.size, s.source_size, g.target, s.pos, round(g.target)::bigint as total, g.tilt
+  from summed s join goals g on s.source is not distinct from g.source),
+taken as (
+  select *, (case when source_size > 0 then (total // source_size) * size
+    + greatest(0, least(size, total - (total // source_size) * source_size - pos)) else 0 end)::bigint as taken,
+    least(1.0::double, pos::double / greatest(target, 1e-9)) as share
+  from wanted)
+select doc_id, size, source_size, target, taken, case when taken > 0 then round(
+    case when tilt = 0 then share else 2 * share / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share)) end, 9) end as position
+from taken
 """
 
 
 @query("op10_source_mixing", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracefold.llm.mixing import mix
+    from tracefold.llm.mixing import mix, position_of
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.when(F.col("taken") > 0, position_of(F.col("offset").cast("double"), F.col("target"), F.col("tilt")))
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position")
+    ).orderBy("position", "doc_id")
