@@ -11,6 +11,20 @@ def remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.pii import KINDS, find, spelled
+
+    def count(number: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == number)).cast("long")
+
+    return find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.array_union("base", "more")).alias("spans"),
+    )
+
+
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.decontaminate import contaminated
