@@ -25,6 +25,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    network = fit(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return score(docs, network).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.decontaminate import contaminated
