@@ -19,6 +19,7 @@ payload.  Repeated rows and repeated ids keep their rows; null ids are kept.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import tarfile
 import uuid
@@ -131,71 +132,43 @@ def _write(root: str):
             if rows:
                 digest, shard, offset, length = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([d.hex() for d in digest]), pa.array(shard), pa.array(offset, pa.int64()), pa.array(length, pa.int64())
+                    pa.array(digest, pa.binary()), pa.array(shard), pa.array(offset, pa.int64()), pa.array(length, pa.int64())
                 ], names=["digest", "shard", "offset", "length"])
         shards.close()
 
     return run
 
 
-def _open(files, root: str, shard: str, opened: dict):
-    if shard not in opened:
-        for old in opened.values():
-            old.close()
-        opened.clear()
-        opened[shard] = files.open_input_file(f"{root}/{shard}")
-    return opened[shard]
+def _describe(root: str):
+    """Columns of each index row: metadata from a header-only range read, then the payload's."""
 
-
-def _ranges(root: str, head_only: bool):
-    """(digest, bytes) of each index row: its header or the whole payload."""
-
-    def read(batches):
+    def rows(batches):
         files, base = pafs.FileSystem.from_uri(root)
-        opened: dict = {}
+        shard, opened = None, None
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                size = min(HEADER_BYTES, row["length"]) if head_only else row["length"]
-                yield row["digest"], _open(files, base, row["shard"], opened).read_at(size, row["offset"])
-        for old in opened.values():
-            old.close()
-
-    return read
+            for row in batch.to_pylist():
+                if row["shard"] != shard:
+                    if opened is not None:
+                        opened.close()
+                    shard = row["shard"]
+                    opened = files.open_input_file(f"{base}/{shard}")
+                width, height, depth = read_header(opened.read_at(min(HEADER_BYTES, row["length"]), row["offset"]))
+                media = opened.read_at(row["length"], row["offset"])
+                payload = decode(media)
+                yield (row["digest"], width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(),
+                       zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
+        if opened is not None:
+            opened.close()
 
-
-def _headers(root: str):
     def run(batches):
-        for digest, head in _ranges(root, True)(batches):
-            width, height, depth = read_header(head)
-            yield pa.RecordBatch.from_pydict({"digest": [digest], "width": [width], "height": [height], "bit_depth": [depth]})
-
-    return lambda batches: _gather(run(batches))
-
+        found = rows(batches)
+        while held := list(itertools.islice(found, 1024)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=COLUMNS)
 
-def _features(root: str):
-    def run(batches):
-        for digest, media in _ranges(root, False)(batches):
-            payload = decode(media)
-            yield pa.RecordBatch.from_pydict({
-                "digest": [digest], "payload_bytes": [len(payload)], "payload_sha256": [hashlib.sha256(payload).hexdigest()],
-                "tail_crc32": [zlib.crc32(payload[-32:])], "media_bytes": [len(media)],
-                "media_sha256": [hashlib.sha256(media).hexdigest()], "feature": [feature(payload)],
-            })
-
-    return lambda batches: _gather(run(batches))
+    return run
 
 
-def _gather(rows):
-    """One batch of many one-row batches."""
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == 1024:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
+COLUMNS = ["digest", "width", "height", "bit_depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
 def store(docs: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame, str]:
@@ -207,7 +180,7 @@ def store(docs: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFram
     padding = F.when(size == 0, F.lit(ROW)).otherwise(F.pmod(-size, F.lit(ROW)))
     payload = F.concat(F.col("text").cast("binary"), F.unhex(F.repeat(F.lit("FF"), padding)))
     rows = materialize(
-        texts.select("doc_id", size.cast("long").alias("n_bytes"), F.sha2(payload, 256).alias("digest")), "media-digests"
+        texts.select("doc_id", size.cast("long").alias("n_bytes"), F.unhex(F.sha2(payload, 256)).alias("digest")), "media-digests"
     )
     key = F.coalesce("doc_id", F.lit(_NO_ID))
     writers = rows.groupBy("digest").agg(F.min(key).alias("writer"))
@@ -226,30 +199,25 @@ def store(docs: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFram
         return slotted.mapInArrow(run, "text string, key long")
 
     unsure = split(True).withColumn(
-        "digest", F.sha2(payload, 256)
+        "digest", F.unhex(F.sha2(payload, 256))
     ).join(others, ["key", "digest"], "left_anti").select("text")
     index = materialize(
         split(False).select("text").unionByName(unsure)
-        .mapInArrow(_write(root), "digest string, shard string, offset long, length long"),
+        .mapInArrow(_write(root), "digest binary, shard string, offset long, length long"),
         "media-index",
     )
     return rows, index, root
 
 
-def metadata(index: DataFrame, root: str) -> DataFrame:
-    """digest, width, height, bit_depth from header-only range reads."""
-    return index.mapInArrow(_headers(root), "digest string, width long, height long, bit_depth long").dropDuplicates(["digest"])
-
-
-def features(index: DataFrame, root: str) -> DataFrame:
-    """Columns computed from the payloads as read back."""
+def described(index: DataFrame, root: str) -> DataFrame:
+    """One row per digest: metadata and the columns computed from the payload as read back."""
     return index.mapInArrow(
-        _features(root),
-        "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        _describe(root),
+        "digest binary, width long, height long, bit_depth long, payload_bytes long, payload_sha256 string, "
+        "tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     ).dropDuplicates(["digest"])
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     rows, index, root = store(docs)
-    known = materialize(features(index, root).join(metadata(index, root), "digest"), "media-columns")
-    return rows.join(known, "digest").drop("digest")
+    return rows.join(described(index, root), "digest").drop("digest")
