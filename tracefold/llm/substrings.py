@@ -1,9 +1,10 @@
 """Repeated 50-byte strings across documents, by merged Burrows-Wheeler transforms.
 
-1. Anchors: positions whose 16-byte hash is the smallest of some 50-byte window.  Every
+1. Anchors: positions whose 24-byte hash is the smallest of some 50-byte window.  Every
    window holds an anchor fixed by its own bytes, so equal windows meet in equal anchors.
-   One shuffle deals packed anchors (hash, hash of the 84-byte context, document, position)
-   to buckets; a bucket task keeps the anchors of two or more documents.
+   One shuffle deals packed anchors (hash, hash of the 76-byte context, document, position)
+   to buckets; a bucket task keeps the anchors of two or more documents that share the bytes on
+   one side of the anchor as well (hashes of both sides travel along).
 2. Where all occurrences of an anchor have one context, that context is a repeated string and
    its smallest document is known.  Other anchors send their distinct contexts' bytes (one
    representative each) to the merge.
@@ -34,14 +35,18 @@ from tracefold.llm import bitmap
 from tracefold.llm.words import U, mix, pieces, prefix_hashes, _power
 from tracefold.session import materialize, shuffle_width
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
-BEFORE = LENGTH - GRAM  # context: 34 bytes before an anchor and 50 from it
+BEFORE = LENGTH - GRAM  # context: 26 bytes before an anchor and 50 from it
 HOT = 2000
 SHARD = 512
 FLUSH = 24 << 20
 
-_ENTRY = np.dtype([("key", U), ("context", U), ("doc", np.int64), ("at", np.int32)])
+#: A 50-byte window around an anchor reaches HALF bytes to its left or to its right.
+HALF = (LENGTH - GRAM) // 2
+
+_ENTRY = np.dtype([("key", U), ("context", U), ("left", U), ("right", U), ("doc", np.int64), ("at", np.int32)])
+_PACKED = (("key", 5), ("context", 5), ("left", 3), ("right", 3))  # leading bytes that travel
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -54,12 +59,12 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(span[: len(span) - rest], span[rest:]) if rest else span
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes and context hashes of all anchors."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Positions, hashes, context hashes and hashes of the bytes left and right of all anchors."""
     n = len(data)
     if n < LENGTH:
         empty = np.zeros(0, np.int64)
-        return empty, empty.view(U), empty.view(U)
+        return empty, *[empty.view(U)] * 4
     c = prefix_hashes(data)
     down = _power("down", n + 1)
     gram = mix((c[GRAM:] - c[:-GRAM]) * down[: n + 1 - GRAM]) | U(1)
@@ -73,7 +78,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     text = np.searchsorted(offsets, at, "right") - 1
     a, b = np.maximum(at - BEFORE, offsets[text]), np.minimum(at + LENGTH, offsets[text + 1])
     context = mix((c[b] - c[a]) * down[a] + mix(((at - a) * 128 + (b - at)).astype(U)))
-    return at, gram[at], context
+    # Where a side is cut off by the text's end, the context stands for it.
+    left = np.where(at - a >= HALF, mix((c[at] - c[np.maximum(at - HALF, 0)]) * down[np.maximum(at - HALF, 0)]), context)
+    far = np.minimum(at + GRAM + HALF, n)
+    right = np.where(b - at >= GRAM + HALF, mix((c[far] - c[at + GRAM]) * down[at + GRAM]), context)
+    return at, gram[at], context, left, right
 
 
 def _anchor_blocks(buckets: int):
@@ -88,9 +97,8 @@ def _anchor_blocks(buckets: int):
         blobs = []
         for b in full:
             part = entries[cuts[b] : cuts[b + 1]]
-            key = np.ascontiguousarray(part["key"]).view(np.uint8).reshape(-1, 8)[:, 3:]
-            context = np.ascontiguousarray(part["context"]).view(np.uint8).reshape(-1, 8)[:, 1:]
-            blobs.append(np.int64(len(part)).tobytes() + key.tobytes() + context.tobytes() + part["doc"].tobytes() + part["at"].tobytes())
+            tops = [np.ascontiguousarray(part[k]).view(np.uint8).reshape(-1, 8)[:, 8 - w :].tobytes() for k, w in _PACKED]
+            blobs.append(b"".join([np.int64(len(part)).tobytes(), *tops, part["doc"].tobytes(), part["at"].tobytes()]))
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
     def run(batches):
@@ -98,10 +106,11 @@ def _anchor_blocks(buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, _, data, offsets in pieces(batch.column(1)):
-                at, key, context = anchors(data, offsets)
+                at, *hashes = anchors(data, offsets)
                 text = np.searchsorted(offsets, at, "right") - 1
                 entry = np.empty(len(at), _ENTRY)
-                entry["key"], entry["context"] = key, context
+                for (name, _), values in zip(_PACKED, hashes, strict=True):
+                    entry[name] = values
                 entry["doc"], entry["at"] = ids[a + text], at - offsets[text]
                 held.append(entry)
                 size += entry.nbytes
@@ -118,7 +127,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     entry = np.zeros(n, _ENTRY)
     at = 8
-    for name, width in (("key", 5), ("context", 7)):
+    for name, width in _PACKED:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, 8 - width :] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
         entry[name] = wide.view(U).reshape(-1)
@@ -128,6 +137,19 @@ def _unpack(blob: bytes) -> np.ndarray:
     return entry
 
 
+def _in_two(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a code stands in two or more documents."""
+    if not len(code):
+        return np.zeros(0, bool)
+    order = np.argsort(code)
+    sorted_code, sorted_doc = code[order], doc[order]
+    head = np.flatnonzero(np.r_[True, sorted_code[1:] != sorted_code[:-1]])
+    many = np.minimum.reduceat(sorted_doc, head) != np.maximum.reduceat(sorted_doc, head)
+    out = np.empty(len(code), bool)
+    out[order] = np.repeat(many, np.diff(np.r_[head, len(code)]))
+    return out
+
+
 def _shared(batches):
     """Occurrences (key, context, doc, at) of anchors in two or more documents.
 
@@ -139,12 +161,12 @@ def _shared(batches):
         return
     e = np.concatenate(held)
     del held
-    e = e[np.lexsort((e["at"], e["doc"], e["context"], e["key"]))]
-    head = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
-    many = np.minimum.reduceat(e["doc"], head) != np.maximum.reduceat(e["doc"], head)
-    e = e[np.repeat(many, np.diff(np.r_[head, len(e)]))]
+    e = e[_in_two(e["key"], e["doc"])]
+    # A shared window needs the same bytes on one side of the anchor at least.
+    e = e[_in_two(mix(e["key"] + e["left"]), e["doc"]) | _in_two(mix(e["key"] ^ mix(e["right"])), e["doc"])]
     if not len(e):
         return
+    e = e[np.lexsort((e["at"], e["doc"], e["context"], e["key"]))]
     fresh = np.r_[True, e["key"][1:] != e["key"][:-1]]
     new = fresh | np.r_[True, e["context"][1:] != e["context"][:-1]]
     group = np.cumsum(fresh) - 1
@@ -326,7 +348,7 @@ def _hot_windows(batches):
 def _covered(docs: DataFrame) -> DataFrame:
     """doc, ranges (array of start, stop in bytes) for documents that lose bytes."""
     texts = docs.filter("doc_id is not null and octet_length(text) >= 50")
-    buckets = shuffle_width(docs, 8 << 20)
+    buckets = shuffle_width(docs, 2 << 20)  # a task unpacks its buckets several times over
     occurrences = materialize(
         texts.select("doc_id", "text").mapInArrow(_anchor_blocks(buckets), "bucket int, entries binary")
         .repartition(buckets, "bucket")
