@@ -39,7 +39,7 @@ LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
 BEFORE = LENGTH - GRAM  # context: 26 bytes before an anchor and 50 from it
 HOT = 2000
-SHARD = 512
+SHARD = 256
 FLUSH = 24 << 20
 
 #: A 50-byte window around an anchor reaches HALF bytes to its left or to its right.
@@ -312,12 +312,11 @@ def _merge(batches):
     table = pa.Table.from_batches(held).combine_chunks()
     columns = [table[c].to_numpy() for c in ("key", "context", "lead", "first")]
     texts = table["bytes"].to_pylist()
-    size = np.cumsum([len(x) for x in texts])
-    # Keys stay together, so a part of the task's contexts can be merged on its own.
+    # Keys stay together, so small parts can be merged on their own, in cache.
     order = np.argsort(columns[0], kind="stable")
     start = 0
     while start < len(order):
-        stop = min(len(order), start + 60_000)
+        stop = min(len(order), start + 1000)
         while stop < len(order) and columns[0][order[stop]] == columns[0][order[stop - 1]]:
             stop += 1
         part = order[start:stop]
@@ -326,7 +325,6 @@ def _merge(batches):
         if len(number):
             yield _emit_runs(key, context, lead, number, offset, least)
         start = stop
-    del size
 
 
 def _hot_windows(batches):
