@@ -47,7 +47,7 @@ def _write_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return written, (row["n"], row["s"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges -> (node, component) for every node that has an edge to another node.
 
     ``component`` is the smallest node of the component.
@@ -57,15 +57,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         .filter("u <> v")
         .distinct()
     )
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    before = None
+    while state[0] and state != before:
         before = state
         current, state = _write_edges(_small_star(_large_star(current)))
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Settled edges form stars: every node points at the smallest node of its component.
     roots = current.select(F.col("v").alias("node")).distinct().withColumn(
         "component", F.col("node")
