@@ -195,23 +195,33 @@ def _thinned(docs: DataFrame, ids: DataFrame, wanted: bool) -> DataFrame:
     return docs.withColumn("_slot", bitmap.slot_of_id("doc_id")).mapInArrow(run, "doc_id long, text string")
 
 
+def _sliced(batches, rows: int = 256):
+    """Batches of few rows, so that only few lists are unfolded at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Bounds of each row's list and all list items; a null row has none."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.r_[0, np.cumsum(sizes)].astype(np.int64), column.flatten()
+
+
 def _cut_contexts(batches):
     """(key, context, first, contexts, lead, bytes) for the asked positions of a text."""
-    for batch in batches:
-        rows = batch.to_pydict()
-        out = {k: [] for k in ("key", "context", "first", "contexts", "lead", "bytes")}
-        for text, asked in zip(rows["text"], rows["asked"], strict=True):
+    for batch in _sliced(batches):
+        bounds, items = _lists(batch.column(1))
+        at = items.field("at").to_numpy()
+        start = np.maximum(0, at - BEFORE)
+        cut = []
+        for text, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             data = text.encode()
-            for x in asked:
-                start = max(0, x["at"] - BEFORE)
-                for k in ("key", "context", "first", "contexts"):
-                    out[k].append(x[k])
-                out["lead"].append(x["at"] - start)
-                out["bytes"].append(data[start : x["at"] + LENGTH])
+            cut += [data[i : j + LENGTH] for i, j in zip(start[a:b].tolist(), at[a:b].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(out[k], pa.int64()) for k in ("key", "context", "first", "contexts")],
-             pa.array(out["lead"], pa.int32()), pa.array(out["bytes"], pa.binary())],
-            names=list(out),
+            [*[items.field(k) for k in ("key", "context", "first", "contexts")],
+             pa.array((at - start).astype(np.int32)), pa.array(cut, pa.binary())],
+            names=["key", "context", "first", "contexts", "lead", "bytes"],
         )
 
 
@@ -386,26 +396,23 @@ def _covered(docs: DataFrame) -> DataFrame:
 
 
 def _apply(batches):
-    for batch in batches:
-        rows = batch.to_pydict()
-        out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for doc, text, ranges in zip(rows["doc_id"], rows["text"], rows["ranges"], strict=True):
+    for batch in _sliced(batches):
+        bounds, items = _lists(batch.column(2))
+        start, stop = (items.field(k).to_numpy() for k in ("start", "stop"))
+        counts, kept = [], []
+        for text, a, b in zip(batch.column(1).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             data = np.frombuffer(text.encode(), np.uint8)
             depth = np.zeros(len(data) + 1, np.int32)
-            if ranges:
-                start = np.array([x["start"] for x in ranges])
-                stop = np.minimum(np.array([x["stop"] for x in ranges]), len(data))
-                np.add.at(depth, start, 1)
-                np.add.at(depth, stop, -1)
+            np.add.at(depth, start[a:b], 1)
+            np.add.at(depth, np.minimum(stop[a:b], len(data)), -1)
             gone = np.cumsum(depth[:-1]) > 0
-            out["doc_id"].append(doc)
-            out["n_bytes"].append(len(data))
-            out["n_removed"].append(int(gone.sum()))
-            out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum() + (len(gone) > 0 and gone[0])))
-            out["kept"].append(data[~gone].tobytes())
+            spans = int((gone[1:] & ~gone[:-1]).sum()) + bool(len(gone) and gone[0])
+            counts.append((len(data), int(gone.sum()), spans))
+            kept.append(data[~gone].tobytes())
+        columns = np.array(counts, np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(out[k], pa.int64()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")], pa.array(out["kept"], pa.binary())],
-            names=list(out),
+            [batch.column(0), *[pa.array(columns[:, i]) for i in range(3)], pa.array(kept, pa.binary())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
 
