@@ -10,8 +10,9 @@
    representative each) to the merge.
 3. A merge task cuts its contexts into shards, sorts each shard's suffixes, and merges the
    shards' transforms by iterative interleave refinement: each round is a stable bucket pass
-   over the interleaved symbols and refines the blocks of equal prefixes by one symbol.  After
-   50 rounds a block is an interval of equal 50-byte strings; suffixes are never sorted anew.
+   over the interleaved symbols and refines the blocks of equal prefixes by one symbol.  All
+   50-byte strings of a context hold its anchor, so the anchor's 24 bytes are one symbol, and
+   27 rounds give the intervals of equal 50-byte strings; suffixes are never sorted anew.
 4. An anchor with more than ``HOT`` distinct contexts is split: each of its windows is counted
    on its own hash, with one row per window and pre-aggregation.
 5. Covered ranges are gathered per document, whose size bounds them, and cut from the text.
@@ -226,15 +227,20 @@ def _cut_contexts(batches):
 
 
 def sorted_suffixes(symbols: np.ndarray) -> np.ndarray:
-    """Suffix order of one shard by prefix doubling (ties beyond 64 symbols by position)."""
-    rank = symbols.astype(np.int64)
-    n, step = len(rank), 1
+    """Suffix order of one shard by prefix doubling (ties beyond 32 symbols by position)."""
+    bits = 8 * symbols.itemsize
+    n, step = len(symbols), 64 // bits
+    padded = np.zeros(n + step - 1, U)
+    padded[:n] = symbols
+    rank = np.zeros(n, U)
+    for i in range(step):
+        rank = (rank << U(bits)) | padded[i : i + n]
     while True:
         order = np.argsort(rank, kind="stable")
         fresh = np.r_[0, np.cumsum(rank[order][1:] != rank[order][:-1])]
         dense = np.empty(n, np.int64)
         dense[order] = fresh
-        if step >= 64 or fresh[-1] == n - 1:
+        if step >= 32 or fresh[-1] == n - 1:
             return order
         after = np.full(n, -1, np.int64)
         after[: n - step] = dense[step:]
@@ -252,7 +258,7 @@ def merged_blocks(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.
     previous = []
     for s, order in zip(shards, orders, strict=True):
         # Symbol before each suffix; the one before a string's start is its own end mark.
-        previous.append(np.where(order > 0, s[order - 1], 0).astype(np.uint8 if s.max(initial=0) < 256 else np.uint16))
+        previous.append(np.where(order > 0, s[order - 1], 0).astype(s.dtype))
     bwt = np.concatenate(previous)
     sizes = np.array([len(s) for s in shards])
     source = np.repeat(np.arange(len(shards)), sizes).astype(np.uint8 if len(shards) <= 256 else np.uint16)
@@ -274,22 +280,27 @@ def merged_blocks(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.
     return block, position
 
 
-def window_firsts(contexts: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context number, offset, smallest document) of every 50-byte window of the contexts."""
-    sizes = np.array([len(x) + 1 for x in contexts])
-    data = np.frombuffer(b"".join(x + b"\0" for x in contexts), np.uint8)
+def window_firsts(contexts: list[bytes], lead: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context number, offset, smallest document) of every 50-byte window of the contexts.
+
+    Symbols are 0 for an end, 1 to 256 for a byte and one number for each distinct anchor.
+    """
+    found: dict[bytes, int] = {}
+    anchor = np.array([
+        found.setdefault(x[a : a + GRAM], 257 + len(found)) for x, a in zip(contexts, lead.tolist(), strict=True)
+    ])
+    joined = b"".join(x[:a] + b"\0" + x[a + GRAM :] + b"\0" for x, a in zip(contexts, lead.tolist(), strict=True))
+    sizes = np.array([len(x) for x in contexts]) - GRAM + 2
     ends = np.cumsum(sizes)
-    marks = np.zeros(len(data), bool)
-    marks[ends - 1] = True
-    used, code = np.unique(data, return_inverse=True)
-    symbols = np.where(marks, 0, code + 1)
-    symbols = symbols.astype(np.uint8 if len(used) < 255 else np.uint16)
+    symbols = np.frombuffer(joined, np.uint8).astype(np.uint16 if len(found) < 65_000 else np.uint32) + 1
+    symbols[ends - 1] = 0
+    symbols[ends - sizes + lead] = anchor
     cuts = ends[SHARD - 1 :: SHARD]
     shards = [s for s in np.split(symbols, cuts) if len(s)]
-    block, position = merged_blocks(shards, LENGTH)
+    block, position = merged_blocks(shards, WIDTH)
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    offset = np.arange(len(data)) - (ends - sizes)[owner]
-    whole = offset + LENGTH < sizes[owner]
+    offset = np.arange(len(symbols)) - (ends - sizes)[owner]
+    whole = offset + WIDTH < sizes[owner]
     keep = whole[position]
     block, position = block[keep], position[keep]
     if not len(block):
@@ -331,7 +342,7 @@ def _merge(batches):
             stop += 1
         part = order[start:stop]
         key, context, lead, first = (c[part] for c in columns)
-        number, offset, least = window_firsts([texts[i] for i in part], first)
+        number, offset, least = window_firsts([texts[i] for i in part], lead, first)
         if len(number):
             yield _emit_runs(key, context, lead, number, offset, least)
         start = stop
