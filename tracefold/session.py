@@ -49,11 +49,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tracefold/{app}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a write's shuffle files as soon as the write is done.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+    """Write ``df`` once and return a scan of the written table.
+
+    The written table replaces the shuffles behind it, so their files go at once and do not
+    fill the executors' disks until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
