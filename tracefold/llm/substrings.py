@@ -39,7 +39,7 @@ from tracefold.session import materialize, shuffle_width
 LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
 BEFORE = LENGTH - GRAM  # context: 26 bytes before an anchor and 50 from it
-HOT = 2000
+HOT = 20_000  # contexts of 54 two-byte symbols that one merge takes at most
 SHARD = 256
 FLUSH = 24 << 20
 
@@ -350,7 +350,7 @@ def _merge(batches):
 
 def _hot_windows(batches):
     """(key, context, low, window, first): every window of a crowded anchor's contexts."""
-    for batch in batches:
+    for batch in _sliced(batches):
         rows = batch.to_pydict()
         out = [[], [], [], [], []]
         for key, context, first, lead, data in zip(rows["key"], rows["context"], rows["first"], rows["lead"], rows["bytes"], strict=True):
