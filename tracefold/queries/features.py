@@ -12,10 +12,7 @@ from tracefold.session import materialize
 from tracefold.sources import bindings as B
 from tracefold.sources.stores import shard_manifest
 
-WORDS = X.TermSpec("word", 1, 2, 2, 20_000, "word")
-CHARS = X.TermSpec("char_wb", 3, 5, 2, 20_000, "char")
-SMALL_WORDS = X.TermSpec("word", 1, 2, 2, 10_000, "word")
-SMALL_CHARS = X.TermSpec("char_wb", 3, 5, 2, 10_000, "char")
+(WORDS,), (CHARS,), (UNION_WORDS, UNION_CHARS) = X.WORD, X.CHAR, X.WORD_CHAR
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +76,7 @@ def _summarize(weights: DataFrame) -> DataFrame:
 
 @query(
     "word_vocabulary",
-    with_(TEXT, _WORDS, _vocabulary("word_tf", 20_000, "vocab")) + "select term, df, total, round(idf, 6) as idf from vocab",
+    with_(TEXT, _WORDS, _vocabulary("word_tf", 150_000, "vocab")) + "select term, df, total, round(idf, 6) as idf from vocab",
 )
 def word_vocabulary(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
@@ -88,7 +85,7 @@ def word_vocabulary(spark, sf_dir):
 
 @query(
     "char_vocabulary",
-    with_(TEXT, _WORDS, _CHARS, _vocabulary("char_tf", 20_000, "vocab")) + "select term, df, total, round(idf, 6) as idf from vocab",
+    with_(TEXT, _WORDS, _CHARS, _vocabulary("char_tf", 150_000, "vocab")) + "select term, df, total, round(idf, 6) as idf from vocab",
 )
 def char_vocabulary(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
@@ -97,7 +94,7 @@ def char_vocabulary(spark, sf_dir):
 
 @query(
     "word_tfidf_training",
-    with_(TEXT, _WORDS, _vocabulary("word_tf", 20_000, "vocab"), _weights("word_tf", "vocab", "w")) + _SUMMARY.format(w="w", where="where train"),
+    with_(TEXT, _WORDS, _vocabulary("word_tf", 150_000, "vocab"), _weights("word_tf", "vocab", "w")) + _SUMMARY.format(w="w", where="where train"),
 )
 def word_tfidf_training(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
@@ -106,7 +103,7 @@ def word_tfidf_training(spark, sf_dir):
 
 @query(
     "word_tfidf_validation",
-    with_(TEXT, _WORDS, _vocabulary("word_tf", 20_000, "vocab"), _weights("word_tf", "vocab", "w")) + _SUMMARY.format(w="w", where="where not train"),
+    with_(TEXT, _WORDS, _vocabulary("word_tf", 150_000, "vocab"), _weights("word_tf", "vocab", "w")) + _SUMMARY.format(w="w", where="where not train"),
 )
 def word_tfidf_validation(spark, sf_dir):
     train, validation = _parts(spark, sf_dir)
@@ -115,7 +112,7 @@ def word_tfidf_validation(spark, sf_dir):
 
 @query(
     "char_tfidf_validation",
-    with_(TEXT, _WORDS, _CHARS, _vocabulary("char_tf", 20_000, "vocab"), _weights("char_tf", "vocab", "w")) + _SUMMARY.format(w="w", where="where not train"),
+    with_(TEXT, _WORDS, _CHARS, _vocabulary("char_tf", 150_000, "vocab"), _weights("char_tf", "vocab", "w")) + _SUMMARY.format(w="w", where="where not train"),
 )
 def char_tfidf_validation(spark, sf_dir):
     train, validation = _parts(spark, sf_dir)
@@ -124,18 +121,18 @@ def char_tfidf_validation(spark, sf_dir):
 
 @query(
     "union_tfidf_validation",
-    with_(TEXT, _WORDS, _CHARS, _vocabulary("word_tf", 10_000, "wv"), _vocabulary("char_tf", 10_000, "cv"),
+    with_(TEXT, _WORDS, _CHARS, _vocabulary("word_tf", 75_000, "wv"), _vocabulary("char_tf", 75_000, "cv"),
           _weights("word_tf", "wv", "ww"), _weights("char_tf", "cv", "cw"),
           "both_blocks as (select * from ww union all select * from cw)") + _SUMMARY.format(w="both_blocks", where="where not train"),
 )
 def union_tfidf_validation(spark, sf_dir):
     train, validation = _parts(spark, sf_dir)
-    return _summarize(X.fit_features(train, (SMALL_WORDS, SMALL_CHARS)).transform(validation))
+    return _summarize(X.fit_features(train, (UNION_WORDS, UNION_CHARS)).transform(validation))
 
 
 @query(
     "lexical_dense_fusion",
-    with_(TEXT, _WORDS, _vocabulary("word_tf", 10_000, "vocab"), _weights("word_tf", "vocab", "w"),
+    with_(TEXT, _WORDS, _vocabulary("word_tf", 75_000, "vocab"), _weights("word_tf", "vocab", "w"),
           "long as (select stable_id, weight from w union all select 'src' || (vec_id % 20) || ':' || vec_id, unnest(embedding)::double from embeddings)") + """
 select stable_id, count(*) as features, round(sum(weight * weight), 4) as squared_norm from long
 where stable_id in (select stable_id from eligible) group by 1
@@ -145,7 +142,7 @@ def lexical_dense_fusion(spark, sf_dir):
     """Word block plus the vector of the document with the same number."""
     docs = documents(spark, sf_dir)
     train, _ = _parts(spark, sf_dir)
-    fitted = X.fit_features(train, (SMALL_WORDS,))
+    fitted = X.fit_features(train, (UNION_WORDS,))
     dense = B.table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string"), F.lit(":"), F.col("vec_id").cast("string")).alias("stable_id"),
         "embedding",
