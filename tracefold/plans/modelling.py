@@ -49,7 +49,7 @@ class Experiment:
     representation: str = "NONE"
     text_view: str = "SUMMARY_DESCRIPTION"
     fused: bool = False
-    max_iter: int = 100
+    max_iter: int | None = None
 
     @property
     def configuration_id(self) -> str:
@@ -219,7 +219,7 @@ def staged_search(
     c_grid: Sequence[float],
     representations: Sequence[str],
     folds: Sequence[int] = (1, 2, 3),
-    max_iter: int = 100,
+    max_iter: int | None = None,
 ) -> DataFrame:
     """C grid, then representation, then text view; each stage starts from the winner before.
 

@@ -39,7 +39,7 @@ def _vectors(spark: SparkSession, sf_dir: str, task: str) -> tuple[DataFrame, Da
 def dense_logistic_regression(spark, sf_dir):
     """Ten classes from the vectors: fit on two thirds, one prediction per other row."""
     train, validation = _vectors(spark, sf_dir, "S10")
-    model, present = N.fit(train, ORDERS["S10"], N.FitConfig("LOGREG", "BALANCED", max_iter=30))
+    model, present = N.fit(train, ORDERS["S10"], N.FitConfig("LOGREG", "BALANCED"))
     return N.predict(model, present, validation)
 
 
@@ -47,7 +47,7 @@ def dense_logistic_regression(spark, sf_dir):
 def dense_score_areas(spark, sf_dir):
     """Two classes from the vectors: ranking areas of the logistic score."""
     train, validation = _vectors(spark, sf_dir, "S2")
-    model, present = N.fit(train, ORDERS["S2"], N.FitConfig("LOGREG", max_iter=30))
+    model, present = N.fit(train, ORDERS["S2"], N.FitConfig("LOGREG"))
     scored = N.predict(model, present, validation, positive="HIGH")
     return M.ranking_areas(scored.select("score", (F.col("y_true") == "HIGH").alias("positive")))
 
@@ -72,7 +72,7 @@ def dense_benchmark_board(spark, sf_dir):
     corpus, _ = _corpus(spark, sf_dir)
     store = ResultStore(spark, scratch_path(spark, "results"))
     grid = [
-        G.Experiment("DENSE", "S2", fold, "LOGREG", "BALANCED", fused=True, max_iter=10)
+        G.Experiment("DENSE", "S2", fold, "LOGREG", "BALANCED", fused=True)
         for fold in (1, 2, 3)
     ]
     results = G.run_grid(corpus, grid, store, "dense")
