@@ -194,3 +194,11 @@ def test_stream_reads_only_new_files(spark, tmp_path):
     add(("A", 3, "3", "minor", "2020-01-05T00:00:00Z", "t", "d"), ("B", 1, "1", "minor", "", "t", "d"))
     again = {r["source_project"]: r["rows"] for r in I.audit_issue_stream(spark, src, spark.read.parquet(src).schema, check, sink).collect()}
     assert again == {"A": 3, "B": 1}
+
+
+@pytest.mark.parametrize("size", [1, 40, 55, 120, 121])
+def test_most_frequent_terms_go_by_total_then_term(spark, size):
+    rows = [(f"t{i * 37 % 120:03d}", 2, 50 - i // 30 if i < 90 else 3 + i % 2) for i in range(120)]
+    found = X.most_frequent(spark.createDataFrame(rows, "term string, df long, total long").repartition(5), size)
+    want = sorted(rows, key=lambda r: (-r[2], r[0]))[:size]
+    assert sorted(map(tuple, found.collect())) == sorted(want)

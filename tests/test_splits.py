@@ -178,7 +178,7 @@ def test_positions_and_running_sums_with_a_hot_group(spark):
             assert sums[(g, k)] == (total, sum(x for x, _ in items))
 
 
-def test_membership_fingerprints(spark):
+def test_membership_fingerprints(spark, monkeypatch):
     import hashlib
 
     ids = [f"P:{i}" for i in range(50)]
@@ -188,16 +188,23 @@ def test_membership_fingerprints(spark):
     assert digest(one) == digest(two) != digest(one.limit(49))
     doubled = one.unionByName(one.limit(1))
     assert digest(doubled) != digest(one)
-    exact = P.sequential_fingerprint(two).first()["fingerprint"]
-    assert exact == hashlib.sha256("".join(i + "\n" for i in sorted(ids)).encode()).hexdigest()
-    with pytest.raises(IntegrityError):
-        P.sequential_fingerprint(one, limit=10)
+
+    def tree(lines, width):
+        for _ in range(4):
+            blocks = [lines[i : i + width] for i in range(0, len(lines), width)]
+            lines = [hashlib.sha256("".join(x + "\n" for x in b).encode()).hexdigest() for b in blocks]
+        return lines[0]
+
+    assert tuple(P.ordered_memberships(two).first()) == (50, tree(sorted(ids), P.BLOCK_LINES))
+    monkeypatch.setattr(P, "BLOCK_BITS", 2)
+    assert tuple(P.ordered_memberships(two).first()) == (50, tree(sorted(ids), 4))
+    assert P.ordered_memberships(two.limit(0)).count() == 0
     pairs = spark.createDataFrame([("P:1", "A", 1), ("P:2", "B", 2)], "stable_id string, y_pred string, n int")
     swapped = spark.createDataFrame([("P:1", "B", 1), ("P:2", "A", 2)], "stable_id string, y_pred string, n int")
     first = lambda d: P.prediction_digest(d).first()["fingerprint"]
     assert first(pairs) != first(swapped)
-    line = P.sequential_predictions(pairs, "n").first()["fingerprint"]
-    assert line == hashlib.sha256(b"P:1\tA\nP:2\tB\n").hexdigest()
+    line = P.ordered_predictions(pairs, "n").first()["fingerprint"]
+    assert line == tree(["P:1\tA", "P:2\tB"], 4)
 
 
 def issue(project, n, day, text, label="major", dupe=""):

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tracefold.functions.text import SPACE
 from tracefold.functions.windows import word_tokens
+from tracefold.operators.ordering import with_position, with_running_sums
 from tracefold.session import materialize, scratch_path, shuffle_width
 
 
@@ -109,18 +110,33 @@ def term_statistics(counts: DataFrame) -> DataFrame:
     )
 
 
+def most_frequent(statistics: DataFrame, size: int) -> DataFrame:
+    """The ``size`` terms with the largest totals, ties by term.
+
+    Terms are counted per total, and a running sum from the top finds the total at which
+    the size is reached.  Terms above it stay, and only those of that total are ranked, so
+    no task sorts the vocabulary.  ``statistics`` is read several times.
+    """
+    totals = statistics.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+    counted = with_running_sums(totals, [], [-F.col("total")], ["n"])
+    cut = counted.filter(F.col("n_through") >= size).orderBy(F.desc("total")).first()
+    if cut is None:
+        return statistics
+    ties = with_position(statistics.filter(F.col("total") == cut["total"]), [], [F.col("term")])
+    wanted = size - (cut["n_through"] - cut["n"])
+    return statistics.filter(F.col("total") > cut["total"]).unionByName(
+        ties.filter(F.col("position") < wanted).select(*statistics.columns)
+    )
+
+
 def fit_vocabulary(train: DataFrame, spec: TermSpec) -> DataFrame:
     """(term, df, total, idf, term_index) of the most frequent terms of the training rows.
 
     Terms in fewer than ``min_df`` documents drop out first; ties at the cap go by term.
     """
     documents = train.count()
-    kept = (
-        term_statistics(term_counts(train, spec))
-        .filter(F.col("df") >= spec.min_df)
-        .orderBy(F.desc("total"), "term")
-        .limit(spec.max_features)
-    )
+    statistics = term_statistics(term_counts(train, spec)).filter(F.col("df") >= spec.min_df)
+    kept = most_frequent(materialize(statistics, "term-statistics"), spec.max_features)
     idf = F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0
     # At most max_features rows reach this window.
     index = F.row_number().over(Window.orderBy("term")) - 1

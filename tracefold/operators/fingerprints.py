@@ -2,9 +2,8 @@
 
 The membership digest adds five 48- to 60-bit limbs of SHA-256(id) over all members.
 Sums commute, so the digest does not depend on order, partitions or retries, partial
-sums are merged map-side, and the only shuffle moves one row per task and group.  The
-byte-sequential digest (SHA-256 over sorted ``id\\n`` lines) is one stream by
-definition; :func:`sequential_fingerprint` gives it for groups whose size was counted.
+sums are merged map-side, and the only shuffle moves one row per task and group.  Where
+order counts, :func:`ordered_digest` hashes fixed blocks of lines and then their digests.
 """
 
 from __future__ import annotations
@@ -13,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracefold.protocol import IntegrityError
+from tracefold.operators.ordering import with_position
 
 _LIMBS = ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))
-SEQUENTIAL_LIMIT = 2_000_000
+BLOCK_BITS = 16
+BLOCK_LINES = 1 << BLOCK_BITS
 
 
 def _limb(digest: Column, start: int, width: int) -> Column:
@@ -45,34 +45,46 @@ def prediction_digest(predictions: DataFrame, group: Sequence[str] = ()) -> Data
     return membership_digest(predictions, line, group)
 
 
-def _sequential(lines: DataFrame, group: Sequence[str], order: str, limit: int) -> DataFrame:
-    largest = lines.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) > limit:
-        raise IntegrityError(
-            f"a sequential digest over {largest} rows is one stream; use the additive digest"
-        )
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("line").alias("l"))))
-    text = F.concat_ws("", F.transform(ordered, lambda s: F.concat(s["l"], F.lit("\n"))))
-    return lines.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("row_count"), F.sha2(text, 256).alias("fingerprint")
+def ordered_digest(
+    members: DataFrame, line: Column, order: Sequence[Column], group: Sequence[str] = ()
+) -> DataFrame:
+    """(group, row_count, fingerprint): digest of the lines in order, at any size.
+
+    Blocks of ``BLOCK_LINES`` lines by position give one SHA-256 each, over the lines with
+    a line break after each; blocks of these digests give the next level.  Four levels
+    cover every long count, so the tree is the same at all sizes, and no task holds more
+    than a block.  Rows that tie in ``order`` must have equal lines.  An empty group has no row.
+    """
+    numbered = members.select(
+        *group, line.alias("_line"), *[key.alias(f"_order{i}") for i, key in enumerate(order)]
+    )
+    keys = [F.col(f"_order{i}") for i in range(len(order))]
+    level = with_position(numbered, group, keys).select(
+        *group, F.col("position").alias("_n"), F.lit(1).cast("long").alias("row_count"), "_line"
     )
+    block = F.array_sort(F.collect_list(F.struct("_n", "_line")))
+    text = F.array_join(F.transform(block, lambda s: F.concat(s["_line"], F.lit("\n"))), "")
+    for _ in range(4):
+        parent = F.shiftright("_n", BLOCK_BITS).alias("_parent")
+        level = (
+            level.groupBy(*group, parent)
+            .agg(F.sum("row_count").alias("row_count"), F.sha2(text, 256).alias("_line"))
+            .withColumnRenamed("_parent", "_n")
+        )
+    return level.select(*group, "row_count", F.col("_line").alias("fingerprint"))
 
 
-def sequential_fingerprint(
-    members: DataFrame, group: Sequence[str] = (), limit: int = SEQUENTIAL_LIMIT
-) -> DataFrame:
-    """SHA-256 over sorted ``id\\n`` lines for groups of at most ``limit`` ids."""
-    lines = members.select(*group, F.col("stable_id").alias("line"), F.col("stable_id").alias("_o"))
-    return _sequential(lines, group, "_o", limit)
+def ordered_memberships(members: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Ordered digest over the sorted ids."""
+    return ordered_digest(members, F.col("stable_id"), [F.col("stable_id")], group)
 
 
-def sequential_predictions(
-    predictions: DataFrame, order: str, group: Sequence[str] = (), limit: int = SEQUENTIAL_LIMIT
+def ordered_predictions(
+    predictions: DataFrame, order: str, group: Sequence[str] = ()
 ) -> DataFrame:
-    """SHA-256 over ``id TAB label`` lines in row order, for counted groups."""
+    """Ordered digest over ``id TAB label`` lines in row order."""
     line = F.concat(F.col("stable_id"), F.lit("\t"), F.col("y_pred"))
-    lines = predictions.select(*group, line.alias("line"), F.col(order).alias("_o"))
-    return _sequential(lines, group, "_o", limit)
+    return ordered_digest(predictions, line, [F.col(order)], group)
 
 
 def dataset_fingerprint(artifacts: DataFrame) -> DataFrame:

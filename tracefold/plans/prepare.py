@@ -72,15 +72,16 @@ def prepare(
     )
     if "source_relative_path" not in eligible.columns:
         eligible = eligible.withColumn("source_relative_path", F.lit(""))
-    if processed:
-        stores.write_processed(eligible, processed)
-        eligible = stores.read_processed(raw.sparkSession, processed)
+    if processed or development:
+        eligible = materialize(eligible, "eligible")
     narrow = materialize(
         eligible.select("stable_id", *stores.SPLIT_COLUMNS), "eligible-narrow"
     )
     rows, links = split_rows(narrow)
     require_clean_split(rows)
     folds = S.fold_memberships(rows)
+    if processed:
+        stores.write_processed(eligible, processed)
     if manifests:
         stores.write_memberships(folds, manifests)
     if development and locked:

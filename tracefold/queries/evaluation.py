@@ -13,7 +13,7 @@ from tracefold.functions.scores import argmax_label
 from tracefold.operators import fingerprints as P, leaderboard as L, memberships as H, metrics as M
 from tracefold.operators.models import majority_predictions, stratified_predictions
 from tracefold.queries.registry import query, rounded
-from tracefold.queries.sql import STRUCTURED, digest, with_
+from tracefold.queries.sql import STRUCTURED, digest, ordered_digest, with_
 from tracefold.session import materialize
 from tracefold.sources import bindings as B
 
@@ -511,6 +511,14 @@ def prediction_digests(spark, sf_dir):
     return P.prediction_digest(predictions(spark, sf_dir), ["task", "representation", "fold"])
 
 
+@query(
+    "ordered_prediction_digests",
+    _P.rstrip() + "\n" + ordered_digest("stable_id || chr(9) || y_pred", "stable_id", "pairs", ", ".join([*CONFIG, "fold"])),
+)
+def ordered_prediction_digests(spark, sf_dir):
+    return P.ordered_predictions(predictions(spark, sf_dir), "stable_id", [*CONFIG, "fold"])
+
+
 @query(
     "majority_baseline",
     with_(STRUCTURED) + """

@@ -163,3 +163,17 @@ def digest(key: str, source: str, group: str = "") -> str:
         f"select {keys}count(*) as row_count, sha256(cast(count(*) as varchar) || '|' || {sums}) as fingerprint "
         f"from (select {keys}sha256({key}) as h from {source}){by}"
     )
+
+
+def ordered_digest(line: str, order: str, source: str, group: str) -> str:
+    """Digest of the lines in order: four levels of blocks of 65,536 lines or digests."""
+    level = (
+        f"select {group}, row_number() over (partition by {group} order by {order}) - 1 as n, "
+        f"1 as row_count, {line} as line from {source}"
+    )
+    for _ in range(4):
+        level = (
+            f"select {group}, n // 65536 as n, sum(row_count)::bigint as row_count, "
+            f"sha256(string_agg(line || chr(10), '' order by n)) as line from ({level}) group by {group}, n // 65536"
+        )
+    return f"select {group}, row_count, line as fingerprint from ({level})"

@@ -9,7 +9,7 @@ from tracefold.functions.scores import class_index, percentage
 from tracefold.operators import eligibility as E, fingerprints as P, split as S
 from tracefold.protocol import PRIORITY
 from tracefold.queries.registry import query, rounded, ts
-from tracefold.queries.sql import SPLIT, STRUCTURED, TS, digest, with_
+from tracefold.queries.sql import SPLIT, STRUCTURED, TS, digest, ordered_digest, with_
 from tracefold.sources import bindings as B
 
 _SPLIT = with_(STRUCTURED, SPLIT)
@@ -183,6 +183,15 @@ def split_membership_digests(spark, sf_dir):
     return P.membership_digest(rows, F.col("stable_id"), ["partition"])
 
 
+@query(
+    "ordered_membership_digests",
+    _SPLIT + ordered_digest("stable_id", "stable_id", "split", "partition"),
+)
+def ordered_membership_digests(spark, sf_dir):
+    rows = S.chronological_split(B.eligible_structured(spark, sf_dir))
+    return P.ordered_memberships(rows, ["partition"])
+
+
 @query(
     "event_timeline_split",
     """

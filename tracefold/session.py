@@ -89,7 +89,7 @@ def shuffle_width(df: DataFrame, bytes_per_partition: int = 128 << 20) -> int:
     if 0 < size < configured << 20:
         cores = df.sparkSession.sparkContext.defaultParallelism
         return max(min(cores, configured), -(-size // (1 << 20)))
-    return max(configured, min(-(-size // bytes_per_partition), 100_000))
+    return max(configured, -(-size // bytes_per_partition))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
