@@ -31,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.dedup_lines(docs)
+    cleaned = lines.dedup_lines(docs, least=1)
     long_line = F.exists(F.split("text", "\n", -1), lambda x: F.octet_length(x) >= lines.MIN_BYTES)
     kept = cleaned.filter((F.col("lines_removed") == 0) | long_line)
     return kept.withColumn(

@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import decontaminate, html_text, lines, media, minhash, mixing, pii, quality, substrings, toxicity
+from tracefold.llm import decontaminate, html_text, lines, media, minhash, mixing, pii, quality, queries, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,6 +80,38 @@ def test_lines(spark):
     assert got[2] == (None, 0) and got[3] == ("", 0) and got[4] == ("", 1)
 
 
+def test_short_lines_repeat_too(spark, tmp_path):
+    r = random.Random(7)
+    short = ["Share this", "版权所有", "a", "}", "  x", " ", "", "All rights reserved.", "Read more", "posted in news"]
+    own = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(1, 40))) for _ in range(80)]
+    pool = [*short, *own, *(f"{x[: len(x) // 2]}Z{x[len(x) // 2 + 1 :]}" for x in own), *(f"{x}!!" for x in own)]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            data = line.encode()
+            near = any(distance(data, x) <= min(2, min(len(data), len(x)) // 12) for x in seen)
+            if not near or not line.strip():
+                kept.append(line)
+            if line.strip():
+                seen.add(data)
+        removed = len(text.split("\n")) - len(kept)
+        want[i] = (removed, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.lines_removed, x.kept_sha256) for x in queries.op4(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny item")], "item_id long, text string")

@@ -1,13 +1,15 @@
 """Line dedup by a segment-partition edit join.
 
-A line is removed when an equal line, or one within ``TAU`` byte edits, first appears earlier
-in the corpus (order: doc_id, line number; judged on the input).  Lines of fewer than
-``MIN_BYTES`` bytes and blank lines are never removed.
-
-1. Every line is cut into TAU + 1 even segments.  It is indexed under (its length, segment
-   number, segment bytes) and probes, for each length 0..TAU below its own, the substrings at
-   the positions that the multi-match-aware rule leaves.  Two lines within TAU edits meet in
-   at least one key.
+A line is removed when an equal line, or one within its byte edits, first appears earlier in
+the corpus (order: doc_id, line number; judged on the input).  The shorter of two lines sets
+the edits: ``TAU`` from ``MIN_BYTES`` bytes, below that in proportion (1 from 12 bytes, then
+none, which leaves equality).  Blank lines and lines of fewer than ``least`` bytes are never
+removed; with ``least`` 1 every other line counts.
+
+1. Every line is cut into one even segment more than its edits.  It is indexed under (its
+   length, segment number, segment bytes) and probes, for each length up to the edits below
+   its own, the substrings at the positions that the multi-match-aware rule leaves.  Two lines
+   within the edits meet in at least one key.  Lines without edits only repeat by equality.
 2. Keys travel as sorted binary blocks per bucket (16 bytes an entry, one shuffle).  A bucket
    task sorts its entries and returns pairs of different lines that meet.
 3. A key with more than ``HOT`` lines makes no pairs: its lines are compared exactly in blocks
@@ -58,10 +60,26 @@ def _segment(length: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarr
     return i * base + extra, base + (i >= tau + 1 - longer)
 
 
-def join_entries(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.ndarray, tau: int) -> np.ndarray:
-    """Index entries (even keys) and probe entries (odd keys) of lines."""
+def edits(length: int, tau: int) -> int:
+    """Edits that a line of ``length`` bytes may have from a line that is not shorter."""
+    return min(tau, length * tau // MIN_BYTES)
+
+
+def edit_ranges(least: int, tau: int) -> list[tuple[int, int, int]]:
+    """(edits, first length, length after the last) of the lines that may have edits."""
+    first = [max(least, -(-n * MIN_BYTES // tau)) for n in range(1, tau + 1)]
+    return [(n, a, b) for n, (a, b) in enumerate(zip(first, [*first[1:], 1 << 62], strict=False), 1) if a < b]
+
+
+def join_entries(
+    c: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.ndarray, tau: int, low_size: int = 1, high_size: int = 1 << 62
+) -> np.ndarray:
+    """Index entries (even keys) and probe entries (odd keys) of indexed lengths in the range."""
     found = []
+    near = (ends - starts >= low_size) & (ends - starts - tau < high_size)
+    starts, ends, line = starts[near], ends[near], line[near]
     length = ends - starts
+    own = length < high_size
     span = length.max(initial=0)
 
     def add(role: int, size: np.ndarray, i: int, a: np.ndarray, b: np.ndarray, who: np.ndarray) -> None:
@@ -73,7 +91,7 @@ def join_entries(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.n
 
     for i in range(tau + 1):
         p, q = _segment(length, i, tau)
-        add(0, length, i, starts + p, starts + p + q, line)
+        add(0, length[own], i, (starts + p)[own], (starts + p + q)[own], line[own])
         for less in range(tau + 1):
             size = length - less
             p, q = _segment(size, i, tau)
@@ -81,27 +99,31 @@ def join_entries(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.n
             high = np.minimum(np.minimum(p + i, p + less + (tau - i)), length - q)
             for step in range(2 * tau + 1):
                 at = low + step
-                ok = (at <= high) & (size > 0)
+                ok = (at <= high) & (size >= low_size) & (size < high_size)
                 if span and ok.any():
                     add(1, size[ok], i, (starts + at)[ok], (starts + at + q)[ok], line[ok])
     return np.concatenate(found)
 
 
-def _places(batches):
+def _places(least: int):
     """(doc, text hash, line number, line id) of every line long enough."""
-    for batch in batches:
-        for a, b, data, offsets in pieces(batch.column(2)):
-            starts, ends, text = find_lines(data, offsets, MIN_BYTES)
-            breaks = np.r_[0, np.cumsum(data == 10)]
-            row = pa.array(text)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(a, b - a).take(row), batch.column(1).slice(a, b - a).take(row),
-                pa.array((breaks[starts] - breaks[offsets[text]]).astype(np.int64)),
-                pa.array(run_hashes(prefix_hashes(data), starts, ends).view(np.int64)),
-            ], names=["doc_id", "text_key", "line_no", "line"])
-
-
-def _blocks(buckets: int, tau: int):
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(2)):
+                starts, ends, text = find_lines(data, offsets, least)
+                breaks = np.r_[0, np.cumsum(data == 10)]
+                row = pa.array(text)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a).take(row), batch.column(1).slice(a, b - a).take(row),
+                    pa.array((breaks[starts] - breaks[offsets[text]]).astype(np.int64)),
+                    pa.array(run_hashes(prefix_hashes(data), starts, ends).view(np.int64)),
+                ], names=["doc_id", "text_key", "line_no", "line"])
+
+    return run
+
+
+def _blocks(buckets: int, ranges: list[tuple[int, int, int]]):
     def flush(held: list[np.ndarray]):
         entries = np.concatenate(held)
         bucket = ((entries["key"] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
@@ -115,15 +137,17 @@ def _blocks(buckets: int, tau: int):
 
     def run(batches):
         held, size = [], 0
+        shortest = min((a for _, a, _ in ranges), default=0)
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
-                starts, ends, _ = find_lines(data, offsets, MIN_BYTES)
-                if not len(starts):
+                starts, ends, _ = find_lines(data, offsets, shortest)
+                if not ranges or not len(starts):
                     continue
                 c = prefix_hashes(data)
                 line, once = np.unique(run_hashes(c, starts, ends).view(np.int64), return_index=True)
-                held.append(join_entries(c, starts[once], ends[once], line, tau))
-                size += held[-1].nbytes
+                for n, low, high in ranges:
+                    held.append(join_entries(c, starts[once], ends[once], line, n, low, high))
+                    size += held[-1].nbytes
                 if size > FLUSH:
                     yield from flush(held)
                     held, size = [], 0
@@ -164,14 +188,14 @@ def _meetings(batches):
             )
 
 
-def _texts(shared):
+def _texts(shared, least: int):
     """(line id, bytes) of the lines that may be asked for."""
 
     def run(batches):
         sent: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
-                starts, ends, _ = find_lines(data, offsets, MIN_BYTES)
+                starts, ends, _ = find_lines(data, offsets, least)
                 line, once = np.unique(run_hashes(prefix_hashes(data), starts, ends).view(np.int64), return_index=True)
                 slots = (line.view(U) >> U(64 - bitmap.LOG)).astype(np.int64)
                 asked = np.flatnonzero(bitmap.hits(shared.value, slots))
@@ -230,7 +254,7 @@ def _confirm(tau: int):
     def run(batches):
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            same = np.array([within(x, y, tau) for x, y in zip(left, right, strict=True)], bool)
+            same = np.array([within(x, y, edits(min(len(x), len(y)), tau)) for x, y in zip(left, right, strict=True)], bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(same)), batch.column(1).filter(pa.array(same))], names=["u", "v"]
             )
@@ -239,7 +263,7 @@ def _confirm(tau: int):
 
 
 def _block_neighbours(tau: int):
-    """For each line of a block pair, the earliest first place among lines within ``tau``."""
+    """For each line of a block pair, the earliest first place among lines within its edits."""
 
     def run(table: pa.Table) -> pa.Table:
         line, side = table["line"].to_pylist(), table["own"].to_pylist()
@@ -250,12 +274,13 @@ def _block_neighbours(tau: int):
         apart = a_side != table["b"][0].as_py()
         best: dict[int, tuple[int, int]] = {}
         for n, i in enumerate(order):
+            most = edits(len(texts[i]), tau)
             for j in order[n + 1 :]:
-                if len(texts[j]) - len(texts[i]) > tau:
+                if len(texts[j]) - len(texts[i]) > most:
                     break
                 if apart and (side[i] == a_side) == (side[j] == a_side):
                     continue
-                if within(texts[i], texts[j], tau):
+                if within(texts[i], texts[j], most):
                     best[line[i]] = min(best.get(line[i], place[j]), place[j])
                     best[line[j]] = min(best.get(line[j], place[i]), place[i])
         return pa.table({
@@ -270,20 +295,21 @@ def _place():
     return F.struct("doc_id", "line_no")
 
 
-def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
+def removals(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> DataFrame:
     """doc_id, text_key, removed (line numbers) of the texts that lose lines."""
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")
     ).filter("doc_id is not null and text is not null")
     places = materialize(
-        texts.mapInArrow(_places, "doc_id long, text_key long, line_no long, line long"), "line-places"
+        texts.mapInArrow(_places(least), "doc_id long, text_key long, line_no long, line long"), "line-places"
     )
     firsts = materialize(
         places.groupBy("line").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times")), "line-firsts"
     )
     buckets = shuffle_width(docs, 8 << 20)
+    ranges = edit_ranges(least, tau)
     met = materialize(
-        texts.select("text").mapInArrow(_blocks(buckets, tau), "bucket int, entries binary")
+        texts.select("text").mapInArrow(_blocks(buckets, ranges), "bucket int, entries binary")
         .repartition(buckets, "bucket").mapInArrow(_meetings, "u long, v long, hot boolean"),
         "line-meetings",
     )
@@ -292,7 +318,7 @@ def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
     asked = pairs.select("u").union(pairs.select("v")).union(crowded.select("line"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(asked, bitmap.slot_of_hash("u")))
     candidates = materialize(
-        texts.select("text").mapInArrow(_texts(shared), "line long, bytes binary").dropDuplicates(["line"]), "line-texts"
+        texts.select("text").mapInArrow(_texts(shared, least), "line long, bytes binary").dropDuplicates(["line"]), "line-texts"
     )
     close = (
         pairs.join(candidates.select(F.col("line").alias("u"), F.col("bytes").alias("left")), "u")
@@ -331,9 +357,9 @@ def _crowded_neighbours(crowded: DataFrame, firsts: DataFrame, candidates: DataF
     return units.groupBy("key", "a", "b").applyInArrow(_block_neighbours(tau), "line long, doc_id long, line_no long")
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> DataFrame:
     """All columns of ``docs``, the text without its removed lines, and ``lines_removed``."""
-    lost = removals(docs, tau).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key", "removed": "_removed"})
+    lost = removals(docs, tau, least).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key", "removed": "_removed"})
     kept = [c for c in docs.columns if c.lower() != "lines_removed"]
     joined = docs.join(
         lost, (docs["doc_id"].cast("long") == lost["_doc"]) & (F.xxhash64(docs["text"]) == lost["_key"]), "left"

@@ -47,7 +47,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1).select(
         "doc_id", "lines_removed", F.length("text").cast("long").alias("kept_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
