@@ -5,8 +5,8 @@ Parquet and read again as the next stage's ``docs``.  All stages but the last re
 columns of ``documents``.
 
 * ``quality_classifier`` drops the documents whose score is below 0.5.
-* ``line_dedup`` removes lines that stand earlier in the corpus.  A document that loses lines
-  and has no line of the joined length left is a copy and goes.  ``n_chars`` follows the text.
+* ``line_dedup`` removes lines that stand earlier in the corpus.  A document goes when it loses
+  lines and nothing but blank lines is left of it.  ``n_chars`` follows the text.
 * ``minhash_near_dedup`` keeps the document with the smallest id of each group (five-word
   shingles, similarity 0.8).
 * ``benchmark_decontamination`` drops documents that hold a benchmark item.
@@ -32,8 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = lines.dedup_lines(docs, least=1)
-    long_line = F.exists(F.split("text", "\n", -1), lambda x: F.octet_length(x) >= lines.MIN_BYTES)
-    kept = cleaned.filter((F.col("lines_removed") == 0) | long_line)
+    kept = cleaned.filter((F.col("lines_removed") == 0) | F.col("text").rlike(r"[^\x09-\x0d\x20]"))
     return kept.withColumn(
         "n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*docs.columns)

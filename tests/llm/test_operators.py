@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracefold.llm import decontaminate, html_text, lines, media, minhash, mixing, pii, quality, queries, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -112,6 +113,16 @@ def test_short_lines_repeat_too(spark, tmp_path):
     assert got == want
 
 
+def test_documents_of_own_short_lines_stay(spark):
+    header = "a header line that many documents share"
+    own = "\n".join(f"own {i}" for i in range(100))
+    docs = frame(spark, [header, f"{header}\n{own}", f"{header}\n \nown 7\n", f"{header}\n\n版权", None, "", " \n"])
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {
+        0: (header, len(header)), 1: (own, len(own)), 3: ("\n版权", 3), 4: (None, 0), 5: ("", 0), 6: (" \n", 2)
+    }
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny item")], "item_id long, text string")
