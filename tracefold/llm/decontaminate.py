@@ -3,7 +3,8 @@
 A window of an item's length is compared with the item by weighted similarity of word
 shingles (five words; weight = number of occurrences): sum of minima over sum of maxima, at
 least 0.8.  A window that shares no shingle with any item has similarity 0, so only windows
-around positions that hold a benchmark shingle are fingerprinted.  For these the operator
+around positions that hold a benchmark shingle are fingerprinted.  A text with fewer words
+than the item is one window of all its words.  For these windows the operator
 
 1. takes the 64-bit SimHash of the window's weighted shingles, for every item length;
 2. looks it up in eight 8-bit block indexes in which each item stands under all values within
@@ -111,15 +112,18 @@ class Index:
             for d in np.unique(text).tolist():
                 for g, group in enumerate(groups):
                     self._windows(joined, at[text == d], k, int(first[d]), int(first[d + 1]), group, (d, k, g), best)
-        return [(d, self.groups[k][g].items[i][0], s, p, self.groups[k][g].length)
+        return [(d, self.groups[k][g].items[i][0], s, p, min(self.groups[k][g].length, int(first[d + 1] - first[d])))
                 for (d, k, g, i), (s, p) in best.items()]
 
     @staticmethod
     def _windows(joined, at, k, begin, end, group, key, best) -> None:
         """Compare the windows of one text that hold an anchor with one length's items."""
-        width = group.length - k + 1  # shingles per window
+        length = min(group.length, end - begin)
+        full, width = group.length - k + 1, length - k + 1  # shingles of an item and per window
+        if 100 * width < PERCENT * full:
+            return
         low = np.maximum(at - width + 1, begin)
-        high = np.minimum(at, end - group.length) + 1
+        high = np.minimum(at, end - length) + 1
         low, high = low[high > low], high[high > low]
         if not len(low):
             return
@@ -137,7 +141,7 @@ class Index:
                 prints = _pack(sums[run - base + width] - sums[run - base])
                 for w, i in group.candidates(prints):
                     p = int(run[w])
-                    similarity = _similarity(joined[p : p + width], group.counts[i], width)
+                    similarity = _similarity(joined[p : p + width], group.counts[i], full + width)
                     if 100 * similarity[0] >= PERCENT * similarity[1]:
                         value = (similarity[0] / similarity[1], p - begin)
                         old = best.get((*key, i))
@@ -145,12 +149,12 @@ class Index:
                             best[*key, i] = value
 
 
-def _similarity(window: np.ndarray, counts: dict[int, int], width: int) -> tuple[int, int]:
-    """Sum of minima and sum of maxima of the shingle counts."""
+def _similarity(window: np.ndarray, counts: dict[int, int], both: int) -> tuple[int, int]:
+    """Sum of minima and sum of maxima of the shingle counts; ``both``: shingles of window and item."""
     same = 0
     for value, n in zip(*(x.tolist() for x in np.unique(window, return_counts=True)), strict=True):
         same += min(n, counts.get(value, 0))
-    return same, 2 * width - same
+    return same, both - same
 
 
 def _indexes(benchmark: DataFrame) -> list:
