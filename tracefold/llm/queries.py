@@ -138,3 +138,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position")
     ).orderBy("position", "doc_id")
+
+
+OP11_SQL = r"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+starts as (
+  select doc_id, words, unnest(range(1, len(words) - 18)) as i from split where len(words) >= 20),
+windows as (
+  select doc_id, i, first_value(doc_id) over w as first_doc, first_value(i) over w as first_i
+  from (select doc_id, i, array_to_string(words[i:i + 19], ' ') as window_words from starts)
+  window w as (partition by window_words order by doc_id, i)),
+late as (select doc_id, i from windows where first_doc < doc_id or (first_doc = doc_id and first_i < i)),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 20)) as i from late),
+each_word as (
+  select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from split),
+marked as (
+  select w.doc_id, w.i, w.word, g.i is not null as removed
+  from each_word w left join gone g on g.doc_id = w.doc_id and g.i = w.i)
+select s.doc_id, len(s.words)::bigint as n_words, coalesce(m.n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(m.kept, '')) as kept_sha256
+from split s left join (
+  select doc_id, count(*) filter (where removed) as n_removed, string_agg(word, ' ' order by i) filter (where not removed) as kept
+  from marked group by doc_id) m on m.doc_id = s.doc_id
+"""
+
+
+@query("op11_substring_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.passages import remove_passages
+
+    return remove_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
