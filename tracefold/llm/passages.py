@@ -3,12 +3,12 @@
 A window is ``LENGTH`` consecutive words.  A word goes when a window that covers it also starts
 earlier: in a document with a smaller id, or further left in the same document.
 
-1. Seeds: the ten-word gram with the smallest hash of every window is an anchor (winnowing, all
+1. Seeds: the ``SEED``-word gram with the smallest hash of every window is an anchor (winnowing, all
    ties).  Equal windows have equal anchors at equal places.  Only anchor hashes are counted in
    the first shuffle, with map-side sums.
 2. Join: occurrences of anchors that stand twice or more are joined on the anchor.  Their context
-   (ten words before the anchor to ten words after it, what any window around it can reach) has
-   a digest; anchor and context together are 128 bits of independent word digests.  Each
+   (``REACH`` words before the anchor to ``REACH`` after it, what any window around it can hold)
+   has a digest; anchor and context together are 128 bits of independent word digests.  Each
    occurrence meets the first occurrence of its context and extends over the whole of it.
 3. Extend: the first occurrences of an anchor with several contexts are joined, as words, with the
    earliest of them.  The match is extended word by word to both sides and kept when it has
@@ -22,10 +22,10 @@ earlier: in a document with a smaller id, or further left in the same document.
 Joins have one row per key on one side, so that a hot anchor, passage or copied document can be
 split.  No group is gathered but the ranges of one document.
 
-Defined cases: null text has no words.  Texts under ``LENGTH`` words lose nothing.  Rows that share an id count as one
-document: the start decides, and equal starts are not earlier than each other.  Rows with a null id
-lose nothing and are no earlier document.  Repeated rows are kept as rows.  Other columns
-are not read, whatever their names.
+Defined cases: null text has no words.  Texts under ``LENGTH`` words lose nothing.  Rows that
+share an id count as one document: the start decides, and equal starts are not earlier than
+each other.  Rows with a null id lose nothing and are no earlier document.  Repeated rows are
+kept as rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from tracefold.llm.named import lanes, named_words
 from tracefold.llm.words import U, join_hashes, mix, pieces
 from tracefold.session import materialize
 
-LENGTH, SEED = 20, 10
+LENGTH, SEED = 20, 14
 REACH = LENGTH - SEED  # words before and after an anchor that a window can hold
 
 _STEP = U(0x9FB21C651E98DF25)
