@@ -19,8 +19,8 @@ earlier: in a document with a smaller id, or further left in the same document.
    their square.
 4. Overlapping matches are joined to maximal runs per document and cut from its words.
 
-Joins have one row per key on one side, so that a hot anchor, passage or copied document can be
-split.  No group is gathered but the ranges of one document.
+Joins have one row per key on one side (built as hash tables of a partition's keys), so that a
+hot anchor, passage or copied document can be split.  No group is gathered but the ranges of one document.
 
 Defined cases: null text has no words.  Texts under ``LENGTH`` words lose nothing.  Rows that
 share an id count as one document: the start decides, and equal starts are not earlier than
@@ -72,7 +72,7 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for back in range(REACH + 1):
         hit |= wide[REACH - back : REACH - back + len(gram)] == gram
     at = np.flatnonzero(hit)
-    return at, gram[at]
+    return at, mix(gram[at])  # minima are small; mixed, they spread over all keys
 
 
 def _contexts(h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -240,14 +240,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(seeds, bitmap.slot_of_hash("key")))
     found = materialize(
-        texts.mapInArrow(_occurrences(shared), _OCCURRENCE).join(seeds, "key"), "passage-occurrences"
+        texts.mapInArrow(_occurrences(shared), _OCCURRENCE).join(seeds.hint("shuffle_hash"), "key"), "passage-occurrences"
     )
     contexts = materialize(
         found.groupBy("key", "context").agg(
             F.min(F.struct("doc", "at", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")
         ), "passage-contexts",
     )
-    copies = found.join(contexts.filter("n > 1").select("key", "context", "first"), ["key", "context"]).filter(
+    again = contexts.filter("n > 1").select("key", "context", "first").hint("shuffle_hash")
+    copies = found.join(again, ["key", "context"]).filter(
         (F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("at") > F.col("first.at")))
     ).filter(F.col("before") + F.col("after") >= REACH).select(
         "doc", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + SEED + F.col("after")).alias("stop")
@@ -268,20 +269,28 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
 
 
+def _union(ranges, end: int) -> list[tuple[int, int]]:
+    """Maximal runs of overlapping or touching ranges."""
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted((x["start"], min(x["stop"], end)) for x in ranges):
+        if runs and a <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(b, runs[-1][1])
+        elif a < b:
+            runs.append((a, b))
+    return runs
+
+
 def _apply(batches):
     for batch in _sliced(batches):
         counts, kept, spans = [], [], []
         found = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
         for words, ranges in zip(_words(batch.column(1)), found, strict=True):
-            gone = np.zeros(len(words) + 1, np.int32)
-            for x in ranges or ():
-                gone[x["start"]] += 1
-                gone[min(x["stop"], len(words))] -= 1
-            cut = np.cumsum(gone[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.r_[False, cut, False]))
-            spans.append([{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()])
-            counts.append((len(words), int(cut.sum())))
-            kept.append(b" ".join(w for w, x in zip(words, cut.tolist(), strict=True) if not x).decode())
+            runs = _union(ranges or (), len(words))
+            spans.append([{"start": a, "stop": b} for a, b in runs])
+            counts.append((len(words), sum(b - a for a, b in runs)))
+            for a, b in reversed(runs):
+                del words[a:b]
+            kept.append(b" ".join(words).decode())
         columns = np.array(counts, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(columns[:, 0]), pa.array(columns[:, 1]),
