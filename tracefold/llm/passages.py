@@ -43,7 +43,7 @@ LENGTH, SEED = 20, 14
 REACH = LENGTH - SEED  # words before and after an anchor that a window can hold
 
 _STEP = U(0x9FB21C651E98DF25)
-_OCCURRENCE = "key long, context long, doc long, at int, before int, after int"
+_OCCURRENCE = "key long, context long, doc long, mark long, at int, before int, after int"
 
 
 def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -106,7 +106,7 @@ def _occurrences(shared):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, first, one, two in _word_lanes(batch.column(1)):
                 at, key = anchors(one, first)
                 keep = bitmap.hits(shared.value, (key >> U(64 - bitmap.LOG)).astype(np.int64))
@@ -115,14 +115,14 @@ def _occurrences(shared):
                 context, before, after = _contexts(two, at, first[text], first[text + 1])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[a + text]),
-                    *[pa.array(x.astype(np.int32)) for x in (at - first[text], before, after)],
-                ], names=["key", "context", "doc", "at", "before", "after"])
+                    pa.array(marks[a + text]), *[pa.array(x.astype(np.int32)) for x in (at - first[text], before, after)],
+                ], names=["key", "context", "doc", "mark", "at", "before", "after"])
 
     return run
 
 
 def _thinned(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of (doc_id, text) whose bit in a bitmap of ``ids.doc`` is set, and the others."""
+    """Rows of (doc_id, text, mark) whose bit in a bitmap of ``ids.doc`` is set, and the others."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap.build(ids, bitmap.slot_of_id("doc")))
 
     def part(wanted: bool):
@@ -130,9 +130,11 @@ def _thinned(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
             for batch in batches:
                 known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 hit = known & bitmap.hits(shared.value, batch.column(2).to_numpy(zero_copy_only=False))
-                yield batch.select([0, 1]).filter(pa.array(hit == wanted))
+                yield batch.select([0, 1, 3]).filter(pa.array(hit == wanted))
 
-        return texts.withColumn("_slot", bitmap.slot_of_id("doc_id")).mapInArrow(run, "doc_id long, text string")
+        return texts.select("doc_id", "text", bitmap.slot_of_id("doc_id").alias("slot"), "mark").mapInArrow(
+            run, "doc_id long, text string, mark long"
+        )
 
     return part(True), part(False)
 
@@ -149,19 +151,21 @@ def _words(column: pa.Array) -> list[list[bytes]]:
 
 
 def _cut_contexts(batches):
-    """(doc, at, lead, words) of the asked contexts of each text."""
+    """(doc, mark, at, lead, words) of the asked contexts of each text."""
     for batch in _sliced(batches):
-        doc, at, lead, cut = [], [], [], []
-        columns = batch.column(0).to_pylist(), _words(batch.column(1)), batch.column(2).to_pylist()
-        for d, words, asked in zip(*columns, strict=True):
+        doc, mark, at, lead, cut = [], [], [], [], []
+        columns = batch.column(0).to_pylist(), _words(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for d, words, m, asked in zip(*columns, strict=True):
             for x in asked:
                 doc.append(d)
+                mark.append(m)
                 at.append(x["at"])
                 lead.append(x["before"])
                 cut.append([w.decode() for w in words[x["at"] - x["before"] : x["at"] + SEED + x["after"]]])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(lead, pa.int32()), pa.array(cut, pa.list_(pa.string()))],
-            names=["doc", "at", "lead", "words"],
+            [pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(at, pa.int32()), pa.array(lead, pa.int32()),
+             pa.array(cut, pa.list_(pa.string()))],
+            names=["doc", "mark", "at", "lead", "words"],
         )
 
 
@@ -181,9 +185,9 @@ def _head_reversed(words: Column, count: Column) -> Column:
 
 
 def extend(rows: DataFrame) -> DataFrame:
-    """(doc, start, stop) of matches of at least ``LENGTH`` words with an earlier row.
+    """(doc, mark, start, stop) of matches of at least ``LENGTH`` words with an earlier row.
 
-    ``rows``: doc, at, lead and words of contexts; the anchor is the ``SEED`` words after ``lead``.
+    ``rows``: doc, mark, at, lead and words of contexts; the anchor is the ``SEED`` words after ``lead``.
     """
     rows = rows.withColumns({"x": F.lit(0), "y": F.lit(0)})
     matches = []
@@ -215,14 +219,14 @@ def extend(rows: DataFrame) -> DataFrame:
         ), lambda s: s.isNotNull())
         done = materialize(
             pairs.select(
-                "doc", "at", "lead", "words", longer.alias("longer"),
+                "doc", "mark", "at", "lead", "words", longer.alias("longer"),
                 (F.col("at") - F.col("l")).alias("start"), (F.col("at") + SEED + F.col("r")).alias("stop"),
             ), f"passage-round-{round_}",
         )
-        matches.append(done.filter(F.col("stop") - F.col("start") >= LENGTH).select("doc", "start", "stop"))
-        rows = done.select("doc", "at", "lead", "words", F.explode("longer").alias("s")).select(
-            "doc", "at", "lead", "words", "s.x", "s.y"
-        ).dropDuplicates(["doc", "at", "x", "y"])
+        matches.append(done.filter(F.col("stop") - F.col("start") >= LENGTH).select("doc", "mark", "start", "stop"))
+        rows = done.select("doc", "mark", "at", "lead", "words", F.explode("longer").alias("s")).select(
+            "doc", "mark", "at", "lead", "words", "s.x", "s.y"
+        ).dropDuplicates(["doc", "mark", "at", "x", "y"])
         if rows.isEmpty():
             break
     out = matches[0]
@@ -232,8 +236,11 @@ def extend(rows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, ranges): per document that loses words, start and stop of its matches, in words."""
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    """(doc, mark, ranges): per text that loses words, start and stop of its matches, in words.
+
+    ``docs``: doc_id, text and ``mark``, a hash that tells the texts of one id apart.
+    """
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "mark")
     seeds = materialize(
         texts.mapInArrow(_anchor_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"),
         "passage-seeds",
@@ -244,27 +251,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
     contexts = materialize(
         found.groupBy("key", "context").agg(
-            F.min(F.struct("doc", "at", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")
+            F.min(F.struct("doc", "at", "mark", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")
         ), "passage-contexts",
     )
     again = contexts.filter("n > 1").select("key", "context", "first").hint("shuffle_hash")
     copies = found.join(again, ["key", "context"]).filter(
         (F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("at") > F.col("first.at")))
     ).filter(F.col("before") + F.col("after") >= REACH).select(
-        "doc", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + SEED + F.col("after")).alias("stop")
+        "doc", "mark", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + SEED + F.col("after")).alias("stop")
     )
     several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select("key")
     asked = materialize(
-        contexts.join(several, "key").groupBy(F.col("first.doc").alias("doc")).agg(
+        contexts.join(several, "key").groupBy(F.col("first.doc").alias("doc"), F.col("first.mark").alias("asked_mark")).agg(
             F.collect_list(F.struct("first.at", "first.before", "first.after")).alias("asked")
         ), "passage-asked",
     )
-    rows = _thinned(texts, asked)[0].join(asked, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asked").mapInArrow(
-        _cut_contexts, "doc long, at int, lead int, words array<string>"
+    rows = _thinned(texts, asked)[0].join(
+        asked, (F.col("doc_id") == F.col("doc")) & (F.col("mark") == F.col("asked_mark"))
+    ).select("doc_id", "text", "mark", "asked").mapInArrow(
+        _cut_contexts, "doc long, mark long, at int, lead int, words array<string>"
     )
     matches = extend(materialize(rows, "passage-words"))
     return materialize(
-        copies.unionByName(matches).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")),
+        copies.unionByName(matches).groupBy("doc", F.col("mark").alias("own_mark")).agg(
+            F.collect_set(F.struct("start", "stop")).alias("ranges")
+        ),
         "passage-ranges",
     )
 
@@ -283,7 +294,7 @@ def _union(ranges, end: int) -> list[tuple[int, int]]:
 def _apply(batches):
     for batch in _sliced(batches):
         counts, kept, spans = [], [], []
-        found = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        found = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
         for words, ranges in zip(_words(batch.column(1)), found, strict=True):
             runs = _union(ranges or (), len(words))
             spans.append([{"start": a, "stop": b} for a, b in runs])
@@ -302,11 +313,12 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, spans (maximal removed runs, in words), kept (text); one row per input row."""
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
+    ).withColumn("mark", F.xxhash64("text"))
     ranges = repeats(texts)
     touched, others = _thinned(texts, ranges)
     result = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept string"
     return (
-        touched.join(ranges, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "ranges")
+        touched.join(ranges, (F.col("doc_id") == F.col("doc")) & (F.col("mark") == F.col("own_mark")), "left")
+        .select("doc_id", "text", "mark", "ranges")
         .mapInArrow(_apply, result).unionByName(others.mapInArrow(_apply, result))
     )
