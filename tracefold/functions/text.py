@@ -33,6 +33,11 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda text: unicodedata.normalize("NFC", text), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _folded(values: pd.Series) -> pd.Series:
+    return values.map(lambda text: text.casefold(), na_action="ignore")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
@@ -137,3 +142,9 @@ def text_for_view(view: Column, summary: Column, description: Column) -> Column:
         .when(view == "DESCRIPTION_ONLY", description)
         .otherwise(F.raise_error(F.concat(F.lit("unknown text view: "), view)))
     )
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding (sharp s is ss, both small sigmas are one); lower() serves ASCII texts."""
+    foreign = F.octet_length(c) != F.length(c)
+    return F.coalesce(_folded(F.when(foreign, c)), F.lower(c))

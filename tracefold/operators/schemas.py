@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracefold.functions.text import casefold
 from tracefold.protocol import DELIMITERS, RELATION_TERMS
 
 # A delimiter outside quotes cannot be told by a count alone, so quoted runs go first.
@@ -56,23 +57,37 @@ def column_presence(columns: DataFrame) -> DataFrame:
     )
 
 
-def missing_from_union(columns: DataFrame) -> DataFrame:
-    """(project, column) pairs of the union of columns that a project lacks.
+def _absent(columns: DataFrame) -> DataFrame:
+    """(column, absent): per column that not every project holds, the projects without it.
 
-    Built by one grouped comparison: a column held by every project needs no pair.
+    Built by one grouped comparison.  The list of projects is as long as the catalogue.
     """
     present = columns.select("project", "column").distinct()
-    partial = column_presence(columns).filter(~F.col("in_every_project")).select("column")
-    projects = present.select("project").distinct().agg(
-        F.array_sort(F.collect_set("project")).alias("all_projects")
-    ).first()["all_projects"]
-    holders = (
-        present.join(partial, "column", "left_semi")
-        .groupBy("column")
-        .agg(F.collect_set("project").alias("holders"))
+    everyone = [r["project"] for r in present.select("project").distinct().orderBy("project").collect()]
+    holders = present.groupBy("column").agg(F.collect_set("project").alias("holders")).filter(
+        F.size("holders") < len(everyone)
     )
-    absent = F.array_except(F.array(*[F.lit(p) for p in projects]), F.col("holders"))
-    return holders.select(F.explode(absent).alias("project"), "column")
+    listed = F.array(*[F.lit(p) for p in everyone]) if everyone else F.array().cast("array<string>")
+    return holders.select("column", F.array_except(listed, F.col("holders")).alias("absent"))
+
+
+def missing_projects(columns: DataFrame) -> DataFrame:
+    """column, missing_projects: one row per column that some project lacks."""
+    return _absent(columns).select("column", F.array_join(F.array_sort("absent"), "|").alias("missing_projects"))
+
+
+def missing_from_union(columns: DataFrame) -> DataFrame:
+    """(project, column) pairs of the union of columns that a project lacks."""
+    return _absent(columns).select(F.explode("absent").alias("project"), "column")
+
+
+def project_schemas(columns: DataFrame) -> DataFrame:
+    """project, column, position, present: the column's place in every project, null where it is absent."""
+    held = columns.groupBy("project", "column").agg(F.min("position").alias("position"))
+    found = held.select("project", "column", "position", F.lit(True).alias("present"))
+    return found.unionByName(missing_from_union(columns).select(
+        "project", "column", F.lit(None).cast(columns.schema["position"].dataType).alias("position"), F.lit(False).alias("present")
+    ))
 
 
 def duplicate_columns(columns: DataFrame) -> DataFrame:
@@ -84,11 +99,11 @@ def duplicate_columns(columns: DataFrame) -> DataFrame:
 
 
 def capitalization_differences(columns: DataFrame) -> DataFrame:
-    """Column names that differ only by letter case."""
+    """Column names that are equal after case folding."""
     return (
         columns.select("column")
         .distinct()
-        .groupBy(F.lower("column").alias("folded"))
+        .groupBy(casefold(F.col("column")).alias("folded"))
         .agg(
             F.array_join(F.array_sort(F.collect_set("column")), "|").alias("spellings"),
             F.count(F.lit(1)).alias("n"),
@@ -102,7 +117,7 @@ def relation_fields(columns: DataFrame) -> DataFrame:
     """Columns whose name suggests a link between issues."""
     hit = F.lit(False)
     for term in RELATION_TERMS:
-        hit = hit | F.lower("column").contains(term)
+        hit = hit | casefold(F.col("column")).contains(term)
     return columns.select("column").distinct().filter(hit)
 
 

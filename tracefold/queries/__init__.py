@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("structured", "text", "audit", "evaluation", "samples", "features", "modelling")
+_MODULES = ("structured", "text", "audit", "evaluation", "samples", "features", "modelling", "ingest")
 
 
 def load() -> tuple[dict, dict]:

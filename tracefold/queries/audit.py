@@ -238,19 +238,28 @@ told as (
   select doc_id, project, line, case
     when greatest(c1, c2, c3, c4) = 0 then null when c1 = greatest(c1, c2, c3, c4) then ','
     when c2 = greatest(c1, c2, c3, c4) then ';' when c3 = greatest(c1, c2, c3, c4) then chr(9) else '|' end as delimiter
-  from counted where line not like '%"%'),
+  from counted),
+raw_fields as (
+  select doc_id, project, delimiter, unnest(case delimiter
+    when ',' then regexp_extract_all(',' || line, ',("[^"]*(?:""[^"]*)*"|[^,]*)', 1)
+    when ';' then regexp_extract_all(';' || line, ';("[^"]*(?:""[^"]*)*"|[^;]*)', 1)
+    when chr(9) then regexp_extract_all(chr(9) || line, '\\x09("[^"]*(?:""[^"]*)*"|[^\\x09]*)', 1)
+    when '|' then regexp_extract_all('|' || line, '\\|("[^"]*(?:""[^"]*)*"|[^|]*)', 1)
+    else [line] end) as field
+  from told),
 fields as (
-  select doc_id, project, delimiter, unnest(case when delimiter is null then [line] else string_split(line, delimiter) end) as "column"
-  from told)
+  select doc_id, project, delimiter, case when field like '"%"' and length(field) >= 2
+    then replace(substr(field, 2, length(field) - 2), '""', '"') else field end as "column"
+  from raw_fields)
 """
 
 
 def _header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents read as headers; lines with quotes are left to the tests."""
+    """First lines of documents read as headers."""
     line = F.substring_index("text", "\n", 1)
     heads = B.table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("project"), line.alias("line")
-    ).filter(~F.col("line").contains('"'))
+    )
     told = heads.withColumn("delimiter", C.header_delimiter(F.col("line")))
     return told.select(
         "doc_id", "project", "delimiter",
@@ -281,16 +290,16 @@ def header_discovery(spark, sf_dir):
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short header words per project, as a schema table."""
+    """Words of the first lines per project, as a schema table."""
     words = F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("column")
     return B.table(spark, sf_dir, "documents").select(F.col("source").alias("project"), words).filter(
-        "length(column) between 1 and 3"
+        "column <> ''"
     )
 
 
 _COLUMNS = """
 with c as (select * from (select source as project, unnest(string_split(split_part(text, chr(10), 1), ' ')) as "column" from documents)
-           where length("column") between 1 and 3),
+           where "column" <> ''),
 p as (select distinct project, "column" from c)
 """
 
@@ -309,12 +318,14 @@ def schema_column_presence(spark, sf_dir):
 @query(
     "schema_missing_columns",
     _COLUMNS + """
-select a.project, b."column" from (select distinct project from c) a, (select distinct "column" from c) b
-where not exists (select 1 from p where p.project = a.project and p."column" = b."column")
+, q as (select array_agg(distinct project) as everyone from c),
+h as (select "column", array_agg(project) as holders from p group by 1)
+select "column", array_to_string(list_sort(list_filter((select everyone from q), lambda x: not list_contains(holders, x))), '|') as missing_projects
+from h where len(holders) < (select len(everyone) from q)
 """,
 )
 def schema_missing_columns(spark, sf_dir):
-    return C.missing_from_union(materialize(_columns(spark, sf_dir), "columns"))
+    return C.missing_projects(materialize(_columns(spark, sf_dir), "columns"))
 
 
 @query(
@@ -328,7 +339,7 @@ def schema_duplicate_columns(spark, sf_dir):
 @query(
     "schema_capitalization_differences",
     _COLUMNS + """
-select lower("column") as folded, string_agg("column", '|' order by "column") as spellings
+select replace(replace(lower("column"), 'ß', 'ss'), 'ς', 'σ') as folded, string_agg("column", '|' order by "column") as spellings
 from (select distinct "column" from c) group by 1 having count(*) > 1
 """,
 )

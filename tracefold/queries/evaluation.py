@@ -118,14 +118,14 @@ def confusion_matrix(spark, sf_dir):
 @query(
     "confusion_matrix_rows",
     with_(_PREDICTIONS) + """
-, cells as (select a.class as t, b.class as g, count(x.y_true) as n from classes a join classes b on a.task = b.task
-  left join (select * from pairs where task = 'S10') x on x.y_true = a.class and x.y_pred = b.class where a.task = 'S10' group by 1, 2),
-lines as (select t, string_agg(cast(n as varchar), ',' order by g) as line from cells group by 1)
-select 'S10' as task, string_agg(line, ';' order by t) as matrix from lines
+, cells as (select a.task, a.class as t, b.class as g, count(x.y_true) as n from classes a join classes b on a.task = b.task
+  left join pairs x on x.task = a.task and x.y_true = a.class and x.y_pred = b.class group by 1, 2, 3),
+lines as (select task, t, string_agg(cast(n as varchar), ',' order by g) as line from cells group by 1, 2)
+select task, string_agg(line, ';' order by t) as matrix from lines group by 1
 """,
 )
 def confusion_matrix_rows(spark, sf_dir):
-    pairs = predictions(spark, sf_dir).filter("task = 'S10'")
+    pairs = predictions(spark, sf_dir)
     cells = M.confusion_counts(pairs, ["task"])
     rows = M.matrix_rows(M.confusion_matrix(cells, ["task"], ORDERS), ["task"], ORDERS)
     text = F.array_join(
@@ -197,14 +197,14 @@ def foreign_predictions(spark, sf_dir):
     "argmax_labels",
     """
 select label, class, count(*) as rows from (
-  select label, (['A', 'B', 'C', 'D'])[list_position(embedding[1:4], list_max(embedding[1:4]))] as class from embeddings)
+  select label, 'C' || list_position(embedding, list_max(embedding)) as class from embeddings)
 group by 1, 2
 """,
 )
 def argmax_labels(spark, sf_dir):
-    scores = F.slice("embedding", 1, 4)
+    classes = tuple(f"C{i}" for i in range(1, 65))
     return B.vectors(spark, sf_dir).select(
-        "label", argmax_label(scores, ("A", "B", "C", "D")).alias("class")
+        "label", argmax_label(F.col("embedding"), classes).alias("class")
     ).groupBy("label", "class").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -354,16 +354,16 @@ def runtime_summary(spark, sf_dir):
 @query(
     "family_metric_means",
     _P + """
-select classifier as family, task, round(avg(macro_f1), 8) as macro_f1_mean, round(avg(balanced_accuracy), 8) as balanced_accuracy_mean,
+select representation || '-' || classifier || '-' || class_weight as family, task, round(avg(macro_f1), 8) as macro_f1_mean, round(avg(balanced_accuracy), 8) as balanced_accuracy_mean,
   round(avg(accuracy), 8) as accuracy_mean, round(avg(weighted_f1), 8) as weighted_f1_mean,
   string_agg(printf('%.10f', macro_f1), '|' order by fold) as macro_f1_folds
-from fits where representation = 'WORD' and class_weight = 'NONE' group by 1, 2
+from fits group by 1, 2
 """,
 )
 def family_metric_means(spark, sf_dir):
     fits, _ = fit_tables(spark, sf_dir)
-    chosen = fits.filter("representation = 'WORD' and class_weight = 'NONE'")
-    return rounded(L.family_summary(chosen.withColumn("family", F.col("classifier"))))
+    family = F.concat_ws("-", "representation", "classifier", "class_weight")
+    return rounded(L.family_summary(fits.withColumn("family", family)))
 
 
 @query(

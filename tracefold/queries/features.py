@@ -191,8 +191,9 @@ def vector_rule_violations(spark, sf_dir):
     "vector_normalization",
     """
 with x as (select label, vec_id, list_transform(embedding, lambda v: v::double * (vec_id + 1)) as e from embeddings)
-select label, count(*) as vectors, round(sum(e[1] / sqrt(list_sum(list_transform(e, lambda v: v * v)))), 4) as first_sum,
-  round(sum(e[64] / sqrt(list_sum(list_transform(e, lambda v: v * v)))), 4) as last_sum from x group by 1
+, u as (select label, vec_id, list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda w: w * w)))) as e from x),
+c as (select label, unnest(e) as v, unnest(range(1, len(e) + 1)) as i from u)
+select label, (count(*) filter (i = 1)) as vectors, round(sum(v), 4) as component_sum, round(sum(v * i), 2) as weighted_sum from c group by 1
 """,
 )
 def vector_normalization(spark, sf_dir):
@@ -200,14 +201,12 @@ def vector_normalization(spark, sf_dir):
         "embedding",
         F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") + 1)),
     )
-    unit = V.normalize_vectors(scaled)
-    return rounded(
-        unit.groupBy("label").agg(
-            F.count(F.lit(1)).alias("vectors"),
-            F.sum(F.get("embedding", F.lit(0)).cast("double")).alias("first_sum"),
-            F.sum(F.get("embedding", F.lit(63)).cast("double")).alias("last_sum"),
-        ),
-        4,
+    unit = V.normalize_vectors(scaled).select("label", F.posexplode("embedding").alias("i", "v"))
+    value = F.col("v").cast("double")
+    return unit.groupBy("label").agg(
+        F.count_if(F.col("i") == 0).alias("vectors"),
+        F.round(F.sum(value), 4).alias("component_sum"),
+        F.round(F.sum(value * (F.col("i") + 1)), 2).alias("weighted_sum"),
     )
 
 
@@ -217,33 +216,36 @@ def vector_normalization(spark, sf_dir):
 with d as (select vec_id // 5 as doc, unnest(embedding)::double as v, unnest(range(0, 64)) as i from embeddings),
 m as (select doc, i, avg(v) as v from d group by 1, 2),
 n as (select doc, sqrt(sum(v * v)) as norm from m group by 1)
-select doc, round(max(v / norm) filter (i = 0), 5) as first, round(max(v / norm) filter (i = 31), 5) as middle, round(max(v / norm) filter (i = 63), 5) as last
-from m join n using (doc) group by 1
+select doc, round(sum(v / norm), 4) as component_sum, round(sum(v / norm * (i + 1)), 2) as weighted_sum from m join n using (doc) group by 1
 """,
 )
 def chunk_vector_pooling(spark, sf_dir):
     chunks = B.table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "embedding")
     pooled = V.mean_pool(chunks, "doc")
-    pick = {n: F.get("embedding", F.lit(i)).cast("double").alias(n) for n, i in (("first", 0), ("middle", 31), ("last", 63))}
-    return rounded(pooled.select("doc", *pick.values()), 5)
+    parts = pooled.select("doc", F.posexplode("embedding").alias("i", "v"))
+    value = F.col("v").cast("double")
+    return parts.groupBy("doc").agg(
+        F.round(F.sum(value), 4).alias("component_sum"), F.round(F.sum(value * (F.col("i") + 1)), 2).alias("weighted_sum")
+    )
 
 
 @query(
     "embedding_lookup",
     """
-select d.source as source_project, count(*) as rows, round(sum(e.embedding[1]), 5) as first_sum
-from documents d join embeddings e on d.doc_id = e.vec_id group by 1
+with c as (select d.source as source_project, unnest(e.embedding)::double as v, unnest(range(1, 65)) as i
+  from documents d join embeddings e on d.doc_id = e.vec_id)
+select source_project, (count(*) filter (i = 1)) as rows, round(sum(v), 4) as component_sum, round(sum(v * i), 2) as weighted_sum from c group by 1
 """,
 )
 def embedding_lookup(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("source_project"))
     found = docs.join(B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    return rounded(
-        found.groupBy("source_project").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.get("embedding", F.lit(0)).cast("double")).alias("first_sum"),
-        ),
-        5,
+    parts = found.select("source_project", F.posexplode("embedding").alias("i", "v"))
+    value = F.col("v").cast("double")
+    return parts.groupBy("source_project").agg(
+        F.count_if(F.col("i") == 0).alias("rows"),
+        F.round(F.sum(value), 4).alias("component_sum"),
+        F.round(F.sum(value * (F.col("i") + 1)), 2).alias("weighted_sum"),
     )
 
 

@@ -315,11 +315,12 @@ def fold_rule_violations(spark, sf_dir):
 @query(
     "fold_leaks_without_purge",
     TEXT_ROWS + """
-, m as (select cast(fold as bigint) as fold, case when block <= fold then 'TRAIN' else 'VALIDATION' end as role, component
-        from rows_final, (values (1), (2), (3)) f(fold) where block <= fold + 1),
-c as (select fold, component, sum((role = 'TRAIN')::int) as t, sum((role = 'VALIDATION')::int) as v from m group by 1, 2)
-select fold, sum((t > 0 and v > 0)::int)::bigint as leaking_components,
-  sum(case when t > 0 then v else 0 end)::bigint as leaking_rows from c group by 1
+, m as (select family, cast(fold as bigint) as fold, case when block <= fold then 'TRAIN' else 'VALIDATION' end as role, component,
+          case when family = 'within_project' then source_project end as project
+        from rows_final, (values (1), (2), (3)) f(fold), (values ('pooled'), ('within_project')) g(family) where block <= fold + 1),
+c as (select family, fold, project, component, sum((role = 'TRAIN')::int) as t, sum((role = 'VALIDATION')::int) as v from m group by all)
+select family, fold, sum((t > 0 and v > 0)::int)::bigint as leaking_components,
+  sum(case when t > 0 then v else 0 end)::bigint as leaking_rows from c group by 1, 2
 """,
 )
 def fold_leaks_without_purge(spark, sf_dir):
@@ -327,14 +328,16 @@ def fold_leaks_without_purge(spark, sf_dir):
     rows, _ = purged_rows(spark, sf_dir)
     blank = F.lit(None).cast("string")
     members = S.fold_memberships(rows.withColumns({"pooled_reason": blank, "within_reason": blank}))
-    members = members.filter("family = 'pooled'").join(
-        rows.select("stable_id", "component"), "stable_id"
+    members = members.select("family", "fold", "role", "stable_id").join(
+        rows.select("stable_id", "component", "source_project"), "stable_id"
     )
-    sides = members.groupBy("fold", "component").agg(
+    # Folds inside a project only see that project's rows.
+    project = F.when(F.col("family") == "within_project", F.col("source_project"))
+    sides = members.groupBy("family", "fold", project.alias("project"), "component").agg(
         F.count_if(F.col("role") == "TRAIN").alias("t"),
         F.count_if(F.col("role") == "VALIDATION").alias("v"),
     )
-    return sides.groupBy("fold").agg(
+    return sides.groupBy("family", "fold").agg(
         F.count_if(F.expr("t > 0 and v > 0")).alias("leaking_components"),
         F.sum(F.when(F.col("t") > 0, F.col("v")).otherwise(0)).alias("leaking_rows"),
     )
@@ -397,19 +400,19 @@ def repeated_texts_across_sources(spark, sf_dir):
 @query(
     "frozen_fold_size_mismatches",
     TEXT_ROWS.rstrip() + "," + MEMBERSHIPS.strip() + """
-select fold, role, count(*) + (fold % 2) as expected_rows, count(*) as rows
-from memberships where family = 'pooled' group by fold, role having fold % 2 = 1
+select family, fold, role, count(*) + (fold % 2) as expected_rows, count(*) as rows
+from memberships group by family, fold, role having fold % 2 = 1
 """,
 )
 def frozen_fold_size_mismatches(spark, sf_dir):
     """Frozen sizes that are off by one for odd folds."""
-    members = S.fold_memberships(purged_rows(spark, sf_dir)[0]).filter("family = 'pooled'")
+    members = S.fold_memberships(purged_rows(spark, sf_dir)[0])
     observed = materialize(
-        members.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows")), "fold-sizes"
+        members.groupBy("family", "fold", "role").agg(F.count(F.lit(1)).alias("rows")), "fold-sizes"
     )
-    expected = observed.select("fold", "role", (F.col("rows") + F.col("fold") % 2).alias("expected_rows"))
-    return H.size_mismatches(observed, expected, ["fold", "role"]).select(
-        "fold", "role", "expected_rows", "rows"
+    expected = observed.select("family", "fold", "role", (F.col("rows") + F.col("fold") % 2).alias("expected_rows"))
+    return H.size_mismatches(observed, expected, ["family", "fold", "role"]).select(
+        "family", "fold", "role", "expected_rows", "rows"
     )
 
 

@@ -1,7 +1,8 @@
 """Strict CSV ingest: header discovery, ragged records, record and line numbers.
 
-Quoted fields may hold line breaks, so one CSV file is one task.  The scan is written
-to Parquet once; everything after it is splittable.
+A file is read in as many tasks as it has splits, although quoted fields may hold line breaks.
+``csv_records`` finds out where records start (see ``csv_splits``); the records are written to
+Parquet once, and everything after that reads the written table.
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracefold.operators.ordering import top_per_group
 from tracefold.operators.schemas import header_columns, header_delimiter
 from tracefold.protocol import IntegrityError
+from tracefold.sources.csv_splits import csv_records
 from tracefold.session import materialize
 
-CORRUPT = "_corrupt"
 MALFORMED_SAMPLES = 100
 _BOM = "﻿"
 
@@ -34,9 +35,18 @@ class CsvHeader:
 
 
 def _starts_with_bom(spark: SparkSession, path: str) -> bool:
-    """The line reader drops a byte-order mark, so the first three bytes are read apart."""
+    """The line reader drops a byte-order mark, so the first three bytes are read apart.
+
+    In a folder the first file with content counts.
+    """
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(target).isDirectory():
+        files = [f for f in fs.listStatus(target) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"]
+        if not files:
+            return False
+        target = min((f.getPath() for f in files), key=lambda p: p.getName())
+    stream = fs.open(target)
     try:
         return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
     finally:
@@ -77,68 +87,74 @@ def invalid_utf8_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     ).distinct()
 
 
-def _observed_width(record: Column, delimiter: str) -> Column:
-    outside = F.regexp_replace(record, r'"[^"]*"', "")
-    return 1 + F.length(outside) - F.length(F.replace(outside, F.lit(delimiter), F.lit("")))
+def csv_problems(records: DataFrame) -> DataFrame:
+    """Records that a strict reader refuses: bad bytes, a stray or an open quote."""
+    return records.filter("problem is not null").select(
+        F.col("source_project").alias("project"), "source_relative_path", "record_number", "ending_line", "problem"
+    )
+
 
+def _named_records(records: DataFrame, project: Column, header: CsvHeader) -> DataFrame:
+    # The header is record 0.
+    return records.filter("record_number > 0").select(
+        project.alias("source_project"),
+        F.col("path").alias("source_relative_path"),
+        "record_number",
+        "ending_line",
+        F.size("fields").cast("long").alias("observed_fields"),
+        F.lit(len(header.columns)).cast("long").alias("expected_fields"),
+        "problem",
+        *[F.coalesce(F.get("fields", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(header.columns)],
+    )
 
-def read_raw_csv(
+
+def _require_readable(records: DataFrame) -> DataFrame:
+    first = csv_problems(records).orderBy("source_relative_path", "record_number").limit(5).collect()
+    if first:
+        raise IntegrityError(f"refused records: {[r.asDict() for r in first]}")
+    return records.drop("problem")
+
+
+def scan_raw_csv(
     spark: SparkSession, project: str, path: str, header: CsvHeader | None = None
 ) -> DataFrame:
     """One project's records as text columns, in the order of its own header.
 
-    Adds ``source_project, source_relative_path, record_number`` (1-based, every record
-    counts), ``observed_fields, expected_fields, ending_line``.  Missing trailing
-    fields and empty fields are empty text.
+    Adds ``source_project, source_relative_path, record_number`` (1-based per file, every record
+    counts, a blank line too), ``observed_fields, expected_fields, ending_line, problem``.
+    Missing trailing fields and empty fields are empty text.
     """
     header = header or discover_header(spark, path)
     if header.duplicates:
         raise SchemaError(f"{project}: duplicate columns {list(header.duplicates)}")
-    schema = T.StructType(
-        [T.StructField(c, T.StringType()) for c in header.columns]
-        + [T.StructField(CORRUPT, T.StringType())]
-    )
-    records = (
-        spark.read.schema(schema)
-        .option("header", "true")
-        .option("enforceSchema", "true")
-        .option("multiLine", "true")
-        .option("sep", header.delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("maxCharsPerColumn", "-1")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-        .withColumn("source_relative_path", F.col("_metadata.file_path"))
-        .withColumn("_seq", F.monotonically_increasing_id())
-    )
-    # Written in full before anything counts rows: which records look malformed depends
-    # on the columns a scan parses.
-    records = materialize(records, "raw-csv")
-    width = len(header.columns)
-    text = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in header.columns}
-    broken = F.col(CORRUPT).isNotNull()
-    breaks = [F.regexp_count(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit("\r\n?|\n"))
-              for c in header.columns]
-    lines = 1 + F.when(
-        broken, F.regexp_count(F.regexp_replace(CORRUPT, r"[\r\n]+\z", ""), F.lit("\r\n?|\n"))
-    ).otherwise(sum(breaks, F.lit(0)))
-    # One file was one scan task, so ordering its rows again adds no wider gathering.
-    per_file = Window.partitionBy("source_relative_path").orderBy("_seq")
-    return (
-        records.select(
-            F.lit(project).alias("source_project"),
-            "source_relative_path",
-            F.row_number().over(per_file).cast("long").alias("record_number"),
-            (1 + F.sum(lines).over(per_file)).cast("long").alias("ending_line"),
-            F.when(broken, _observed_width(F.col(CORRUPT), header.delimiter))
-            .otherwise(width).cast("long").alias("observed_fields"),
-            F.lit(width).cast("long").alias("expected_fields"),
-            *[c.alias(name) for name, c in text.items()],
-        )
-    )
+    records = materialize(csv_records(spark, path, header.delimiter), "raw-csv")
+    return _named_records(records, F.lit(project), header)
+
+
+def read_raw_csv(
+    spark: SparkSession, project: str, path: str, header: CsvHeader | None = None
+) -> DataFrame:
+    """``scan_raw_csv`` for files that a strict reader accepts; a problem stops the job."""
+    return _require_readable(scan_raw_csv(spark, project, path, header))
+
+
+def read_catalogue(spark: SparkSession, root: str, sources: dict[str, str]) -> DataFrame:
+    """The files (or folders of files) of all projects, with one header, in one scan.
+
+    ``sources``: relative path per project, as the catalogue lists them.
+    """
+    if not sources:
+        raise SchemaError("the catalogue lists no project")
+    headers = {p: discover_header(spark, f"{root}/{path}") for p, path in sorted(sources.items())}
+    header = next(iter(headers.values()))
+    other = [p for p, h in headers.items() if (h.columns, h.delimiter) != (header.columns, header.delimiter)]
+    if other or header.duplicates:
+        raise SchemaError(f"headers differ or repeat a column: {other or list(header.duplicates)}")
+    records = materialize(csv_records(spark, [f"{root}/{x}" for x in sources.values()], header.delimiter), "raw-csv")
+    project = F.coalesce(*[
+        F.when(F.col("path").rlike(rf"/\Q{path}\E(/[^/]*)?$"), project) for project, path in sources.items()
+    ])
+    return _require_readable(_named_records(records, project, header))
 
 
 def malformed_samples(records: DataFrame, k: int = MALFORMED_SAMPLES) -> DataFrame:
