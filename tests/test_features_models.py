@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.operators import features as X, models as N, vectors as V
-from tracefold.plans import encoding, modelling as G
+from tracefold.operators import features as X, linear, models as N, vectors as V
+from tracefold.plans import bundles, encoding, modelling as G
 from tracefold.protocol import SEVERITY, IntegrityError
 from tracefold.sources.stores import ResultStore
 from tracefold.streaming import incremental_audit as I
@@ -154,31 +154,88 @@ def test_grid_resumes_ranks_and_searches(spark, corpus, tmp_path):
 def test_multiclass_fits_and_failures(spark, corpus):
     train, validation, width = G.fold_features(corpus, 3, "NONE", "SUMMARY_DESCRIPTION", True)
     assert width == 16
-    named = [d.withColumnRenamed("target_s3", "y_true") for d in (train, validation)]
-    for classifier in ("LOGREG", "LINEARSVC"):
-        row = N.fit_and_score(*named, "S3", SEVERITY.orders, N.FitConfig(classifier, "BALANCED", 10.0, 10))
+    targets = {t: f"target_{t.lower()}" for t in SEVERITY.tasks}
+    specs = [linear.Spec(f"{t}-{c}", t, c, "BALANCED", 10.0) for t in ("S3", "S2") for c in ("LOGREG", "LINEARSVC")]
+    rows, predictions = N.fit_and_score(train, validation, width, targets, SEVERITY.orders, specs)
+    for row in rows.values():
         assert row["status"] == "SUCCESS", row
         assert row["metrics"]["macro_f1"] > 0.5
         assert sum(map(sum, row["confusion_matrix"])) == validation.count()
-    assert N.fit_and_score(*named, "S3", SEVERITY.orders, N.FitConfig("OTHER"))["status"] == "FAILED"
+    assert predictions.count() == 4 * validation.count()
+    failed, none = N.fit_and_score(train, validation, width, targets, SEVERITY.orders, [linear.Spec("x", "S3", "OTHER")])
+    assert failed["x"]["status"] == "FAILED" and none is None
     dummies = {r["classifier"]: r["accuracy"] for r in G.dummy_baselines(corpus, 3, "S3").collect()}
     assert set(dummies) == {"DUMMY_MOST_FREQUENT", "DUMMY_STRATIFIED"}
 
 
-def test_final_model_scores_unseen_text(spark, corpus, tmp_path):
+def test_grid_metrics_and_board_follow_from_the_predictions(spark, corpus, tmp_path):
+    """Every scalar and the board, recomputed by another engine from the written predictions."""
+    import duckdb
+
+    grid = G.dense_experiments(SEVERITY.tasks, folds=(1, 2)) + G.fusion_experiments(
+        {"S3": ("WORD", "LOGREG", "NONE", 1.0)}, folds=(2,)
+    )
+    store, keep = ResultStore(spark, str(tmp_path / "results")), str(tmp_path / "predictions")
+    results = G.run_grid(corpus, grid, store, "p", keep)
+    assert results.count() == len(grid) == 25
+    orders = [(t, c) for t, labels in SEVERITY.orders.items() for c in labels]
+    want = {r[0]: r[1:] for r in duckdb.sql(f"""
+with p as (select * from read_parquet('{keep}/*.parquet')),
+classes(task, class) as (values {", ".join(map(str, orders))}),
+s as (select f.fit, c.class, (select count(*) from p where p.fit = f.fit and y_true = c.class) as support,
+  (select count(*) from p where p.fit = f.fit and y_pred = c.class) as guessed,
+  (select count(*) from p where p.fit = f.fit and y_true = c.class and y_pred = c.class) as hits
+  from (select distinct fit, task from p) f join classes c using (task))
+select fit, avg(case when support + guessed > 0 then 2 * hits / (support + guessed) else 0 end), avg(hits / support) filter (support > 0),
+  sum(hits) / sum(support) from s group by 1""").fetchall()}
+    got = {r["experiment_id"]: (r["macro_f1"], r["balanced_accuracy"], r["accuracy"]) for r in G.flat_results(results).collect()}
+    assert set(got) == set(want)
+    for key, values in got.items():
+        assert values == pytest.approx(want[key], abs=1e-9)
+
+
+def test_final_model_is_published_loaded_and_used_once(spark, corpus, tmp_path):
     train = corpus.rows.filter("cast(substring(stable_id, 3, 9) as int) < 45")
     test = corpus.rows.join(train.select("stable_id"), "stable_id", "left_anti")
-    methods = {"S2": ("LOGREG", "BALANCED", 1.0)}
-    final = G.train_final(train, SEVERITY, methods, "WORD")
-    final.save(str(tmp_path / "final"))
-    predictions = G.predict_final(final, test.select("stable_id", "text_combined"), positive={"S2": "HIGH_IMPACT"})
-    scored = G.score_final(predictions, test, SEVERITY, {"S2": "HIGH_IMPACT"})
-    assert scored["metrics"].first()["rows"] == 15
+    methods = {"S6": ("LINEARSVC", "BALANCED", 0.5), "S3": ("LOGREG", "NONE", 1.0), "S2": ("LOGREG", "BALANCED", 1.0)}
+    kinds = {"S6": "S6-R3", "S3": "WORD", "S2": "WORD"}
+    final = G.train_final(train, SEVERITY, methods, kinds, corpus.dense, corpus.dimension)
+    root, identity = str(tmp_path / "final"), {"protocol": "p"}
+    with pytest.raises(IntegrityError, match="no published model"):
+        bundles.load(spark, root)
+    bundles.publish(spark, final, root, identity)
+    name = bundles.publish(spark, final, root, identity)
+    loaded = bundles.load(spark, root, identity)
+    before = {(r["stable_id"], r["task"]): (r["y_pred"], r["score"]) for r in G.predict_final(final, test, corpus.dense).collect()}
+    after = {(r["stable_id"], r["task"]): (r["y_pred"], r["score"]) for r in G.predict_final(loaded, test, corpus.dense).collect()}
+    assert before == after and len(after) == 45
+    with pytest.raises(IntegrityError, match="another identity"):
+        bundles.load(spark, root, {"protocol": "q"})
+
+    positive, receipts = {"S2": "HIGH_IMPACT"}, str(tmp_path / "receipts")
+    texts = test.select("stable_id", "text_combined")
+    scored = bundles.score_once(spark, root, receipts, identity, texts, test, SEVERITY, positive, corpus.dense)
+    assert {r["task"]: r["rows"] for r in scored["metrics"].collect()} == {"S6": 15, "S3": 15, "S2": 15}
     assert scored["areas"].first()["roc_auc"] == pytest.approx(1.0)
-    assert scored["fingerprints"].first()["row_count"] == 15
+    assert bundles.HeldOutAccess(spark, receipts).state() == "COMPLETED"
+    with pytest.raises(IntegrityError, match="accessed before"):
+        bundles.score_once(spark, root, receipts, identity, texts, test, SEVERITY, positive, corpus.dense)
+    half = bundles.HeldOutAccess(spark, str(tmp_path / "half"))
+    half.start(identity)
+    with pytest.raises(IntegrityError, match="accessed before"):
+        half.start(identity)
+    predictions = G.predict_final(loaded, texts, corpus.dense, positive)
     with pytest.raises(IntegrityError, match="without a label"):
         G.score_final(predictions, test.limit(5), SEVERITY)
 
+    part = next((tmp_path / "final" / name / "coefficients").glob("part-*.parquet"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 2] ^= 1
+    part.write_bytes(data)
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(IntegrityError, match="files differ"):
+        bundles.load(spark, root, identity)
+
 
 def test_stream_reads_only_new_files(spark, tmp_path):
     schema = ("source_project string, record_number long, issue_id string, severity string, creation_time string, "

@@ -43,6 +43,38 @@ WORD_CHAR = (
 REPRESENTATIONS = {"WORD": WORD, "CHAR": CHAR, "WORD_CHAR": WORD_CHAR}
 
 
+def _word(high: int, min_df: int = 2, size: int = 150_000) -> TermSpec:
+    return TermSpec("word", 1, high, min_df, size, "word")
+
+
+def _char(low: int, high: int, min_df: int = 2, size: int = 150_000) -> TermSpec:
+    return TermSpec("char_wb", low, high, min_df, size, "char")
+
+
+# The variants of the staged search, by task and number.
+VARIANTS = {
+    "S6-R1": (_char(3, 5),),
+    "S6-R2": (_char(3, 6),),
+    "S6-R3": (_char(2, 5),),
+    "S6-R4": (_char(3, 5, 5),),
+    "S6-R5": (_char(3, 5, 2, 250_000),),
+    "S6-R6": (_char(3, 6, 2, 250_000),),
+    "S3-R1": (_word(2),),
+    "S3-R2": (_word(1),),
+    "S3-R3": (_word(3),),
+    "S3-R4": (_word(2, 5),),
+    "S3-R5": (_word(2, 2, 250_000),),
+    "S3-R6": (_word(3, 2, 250_000),),
+    "S2-R1": (_word(2), _char(3, 5)),
+    "S2-R2": (_word(2, 2, 200_000), _char(3, 5, 2, 200_000)),
+    "S2-R3": (_word(2, 2, 250_000), _char(3, 5, 2, 250_000)),
+    "S2-R4": (_word(3), _char(3, 5)),
+    "S2-R5": (_word(2), _char(3, 6)),
+    "S2-R6": (_word(2), _char(3, 5, 2, 250_000)),
+}
+REPRESENTATIONS |= VARIANTS
+
+
 def _slots(n: Column) -> Column:
     """0..n-1, empty when n < 1."""
     return F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(
@@ -188,18 +220,13 @@ def fit_features(train: DataFrame, specs: Sequence[TermSpec]) -> FittedFeatures:
     return FittedFeatures(tuple(specs), vocabularies, tuple(v.count() for v in vocabularies))
 
 
-def as_vectors(
-    docs: DataFrame,
-    weights: DataFrame | None,
-    width: int,
-    dense: DataFrame | None = None,
-    dimension: int = 0,
+def _fused(
+    docs: DataFrame, weights: DataFrame | None, width: int, dense: DataFrame | None, dimension: int
 ) -> DataFrame:
-    """One ML vector per document of ``docs``, written once for all fits that share it.
+    """The columns of ``docs`` but its text, with ``indices`` and ``values`` of every document.
 
     ``dense`` (stable_id, embedding) is appended after the sparse block with weight one.
-    Documents without a known term keep an empty vector.  The vector column is written
-    as its struct form and read back with the vector type, so no row passes Python.
+    Documents without a known term keep an empty vector.
     """
     rows = docs
     empty_i, empty_v = F.array().cast("array<int>"), F.array().cast("array<double>")
@@ -216,15 +243,37 @@ def as_vectors(
         rows = rows.join(dense.select("stable_id", "embedding"), "stable_id")
         indices = F.concat(indices, F.sequence(F.lit(width), F.lit(width + dimension - 1)))
         values = F.concat(values, F.col("embedding").cast("array<double>"))
+    return rows.select(*[c for c in docs.columns if c != "text"], indices.alias("indices"), values.alias("values"))
+
+
+def sparse_rows(
+    docs: DataFrame, weights: DataFrame | None, width: int, dense: DataFrame | None = None, dimension: int = 0
+) -> DataFrame:
+    """``indices`` and ``values`` per document, written once for all fits that share them."""
+    return materialize(_fused(docs, weights, width, dense, dimension), "sparse-rows")
+
+
+def as_vectors(
+    docs: DataFrame,
+    weights: DataFrame | None,
+    width: int,
+    dense: DataFrame | None = None,
+    dimension: int = 0,
+) -> DataFrame:
+    """``sparse_rows`` as one ML vector per document.
+
+    The vector column is written as its struct form and read back with the vector type, so no
+    row passes Python.
+    """
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         F.lit(width + dimension).alias("size"),
-        indices.alias("indices"),
-        values.alias("values"),
+        "indices",
+        "values",
     )
     kept = [c for c in docs.columns if c != "text"]
     path = scratch_path(docs.sparkSession, "vectors")
-    rows.select(*kept, vector.alias("features")).write.parquet(path)
+    _fused(docs, weights, width, dense, dimension).select(*kept, vector.alias("features")).write.parquet(path)
     schema = T.StructType(
         [docs.schema[c] for c in kept] + [T.StructField("features", VectorUDT())]
     )

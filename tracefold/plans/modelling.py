@@ -1,21 +1,21 @@
 """Model grids: lexical benchmark, staged search, dense and fused grids, held-out scoring.
 
 A grid is driven from the driver like any model selection: features of a (fold,
-representation) are written once, the fits that share them run on that table, and each
-result is appended to a store, so an interrupted grid resumes with what is missing.
+representation) are written once, all fits that share them are trained in joint passes over that
+table, and their results are appended to a store, so an interrupted grid resumes with what is
+missing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from tracefold.functions.ids import experiment_key
 from tracefold.functions.text import text_for_view
-from tracefold.operators import features as X, fingerprints as P, leaderboard as L, metrics as M, models as N
+from tracefold.operators import features as X, fingerprints as P, leaderboard as L, linear, metrics as M, models as N
 from tracefold.operators.eligibility import require_empty
 from tracefold.operators.memberships import common_ids, missing_ids, require_exact_membership
 from tracefold.protocol import STUDY_SEED, IntegrityError, LabelScheme
@@ -84,7 +84,7 @@ def _texts(rows: DataFrame, view: str) -> DataFrame:
 def fold_features(
     corpus: Corpus, fold: int, representation: str, view: str, fused: bool
 ) -> tuple[DataFrame, DataFrame, int]:
-    """(train, validation, width): vectors of a fold, fitted on its training rows."""
+    """(train, validation, width): sparse rows of a fold, fitted on its training rows."""
     targets = [f"target_{t.lower()}" for t in corpus.task_names()]
     train, validation = (
         _texts(fold_rows(corpus, fold, role), view).select("stable_id", "text", *targets)
@@ -92,20 +92,24 @@ def fold_features(
     )
     dense, dimension = (corpus.dense, corpus.dimension) if fused else (None, 0)
     if representation == "NONE":
-        parts = [X.as_vectors(d, None, 0, dense, dimension) for d in (train, validation)]
+        parts = [X.sparse_rows(d, None, 0, dense, dimension) for d in (train, validation)]
         return parts[0], parts[1], dimension
     fitted = X.fit_features(train, X.REPRESENTATIONS[representation])
     parts = [
-        X.as_vectors(d, fitted.transform(d), fitted.width, dense, dimension)
+        X.sparse_rows(d, fitted.transform(d), fitted.width, dense, dimension)
         for d in (train, validation)
     ]
     return parts[0], parts[1], fitted.width + dimension
 
 
 def run_grid(
-    corpus: Corpus, experiments: Sequence[Experiment], store: ResultStore, provenance: str
+    corpus: Corpus, experiments: Sequence[Experiment], store: ResultStore, provenance: str,
+    keep: str | None = None,
 ) -> DataFrame:
-    """Fit what the store lacks; features are shared inside (fold, representation, view)."""
+    """Fit what the store lacks; features and passes are shared inside (fold, representation, view).
+
+    ``keep``: folder to which the predictions of the fits are appended.
+    """
     spark = corpus.rows.sparkSession
     grid = spark.createDataFrame([(e.key(provenance),) for e in experiments], "experiment_id string")
     wanted = {r["experiment_id"] for r in store.pending(grid, provenance).collect()}
@@ -118,12 +122,14 @@ def run_grid(
             require_exact_membership(corpus.dense, corpus.rows)
         train, validation, width = fold_features(corpus, fold, representation, view, fused)
         sizes = (train.count(), validation.count())
-        for e in members:
-            target = f"target_{e.task.lower()}"
-            named = [d.withColumnRenamed(target, "y_true") for d in (train, validation)]
-            config = N.FitConfig(e.classifier, e.class_weight, e.c, e.max_iter)
-            row = N.fit_and_score(*named, e.task, corpus.scheme.orders, config)
-            store.append([_result(e, provenance, width, sizes, row)])
+        targets = {t: f"target_{t.lower()}" for t in corpus.task_names()}
+        specs = [
+            linear.Spec(e.key(provenance), e.task, e.classifier, e.class_weight, e.c, e.max_iter) for e in members
+        ]
+        rows, predictions = N.fit_and_score(train, validation, width, targets, corpus.scheme.orders, specs)
+        if predictions is not None and keep is not None:
+            predictions.write.mode("append").parquet(keep)
+        store.append([_result(e, provenance, width, sizes, rows[e.key(provenance)]) for e in members])
     return store.read().join(grid, "experiment_id", "left_semi")
 
 
@@ -217,12 +223,14 @@ def staged_search(
     *,
     start: dict[str, tuple[str, str, str]],
     c_grid: Sequence[float],
-    representations: Sequence[str],
+    representations: Sequence[str] | dict[str, Sequence[str]],
     folds: Sequence[int] = (1, 2, 3),
     max_iter: int | None = None,
 ) -> DataFrame:
     """C grid, then representation, then text view; each stage starts from the winner before.
 
+    ``representations``: names of ``features.REPRESENTATIONS``, for all tasks or per task (the
+    variants ``S6-R1`` to ``S2-R6`` among them).
     ``start``: (representation, classifier, weight) per task.  The combined text view
     equals the winner of stage two and is copied, not fitted again.
     """
@@ -230,11 +238,12 @@ def staged_search(
         Experiment("S1", task, fold, clf, weight, c, rep, max_iter=max_iter)
         for task, (rep, clf, weight) in start.items() for c in c_grid for fold in folds
     ]
+    tried = representations if isinstance(representations, dict) else dict.fromkeys(start, representations)
     board = staged_board(run_grid(corpus, first, store, provenance))
     best_c = {t: _winner(board, "S1", t)["c"] for t in start}
     second = [
         Experiment("S2", task, fold, clf, weight, best_c[task], rep, max_iter=max_iter)
-        for task, (_, clf, weight) in start.items() for rep in representations for fold in folds
+        for task, (_, clf, weight) in start.items() for rep in tried[task] for fold in folds
     ]
     results = run_grid(corpus, second, store, provenance)
     board = staged_board(results)
@@ -296,42 +305,45 @@ def dummy_baselines(corpus: Corpus, fold: int, task: str, seed: int = STUDY_SEED
 
 
 @dataclass(frozen=True)
-class FinalModel:
-    """Fitted features and one classifier per task, ready for new text."""
+class FinalPart:
+    """Fitted features of one representation and the classifiers of the tasks that use it."""
 
     features: X.FittedFeatures
-    models: dict = field(default_factory=dict)
+    models: tuple[linear.Fitted, ...]
     dense_dimension: int = 0
 
-    def save(self, root: str) -> None:
-        """Vocabulary tables and classifiers; their files are covered by artifact hashes."""
-        for i, vocabulary in enumerate(self.features.vocabularies):
-            vocabulary.write.mode("overwrite").parquet(f"{root}/vocabulary-{i}")
-        for task, (model, _) in self.models.items():
-            PipelineModel([model]).write().overwrite().save(f"{root}/model-{task}")
+
+@dataclass(frozen=True)
+class FinalModel:
+    """Everything that is needed for new text; ``plans.bundles`` stores and loads it."""
+
+    parts: tuple[FinalPart, ...]
 
 
 def train_final(
     rows: DataFrame,
     scheme: LabelScheme,
     methods: dict[str, tuple[str, str, float]],
-    representation: str,
+    representation: str | dict[str, str],
     dense: DataFrame | None = None,
     dimension: int = 0,
 ) -> FinalModel:
-    """Refit on all development rows: (classifier, weight, c) per task."""
-    targets = [f"target_{t.lower()}" for t in methods]
-    docs = rows.select("stable_id", F.col("text_combined").alias("text"), *targets)
-    fitted = X.fit_features(docs, X.REPRESENTATIONS[representation])
-    data = X.as_vectors(docs, fitted.transform(docs), fitted.width, dense, dimension)
-    models = {
-        task: N.fit(
-            data.withColumnRenamed(f"target_{task.lower()}", "y_true"),
-            scheme.orders[task], N.FitConfig(clf, weight, c),
-        )
-        for task, (clf, weight, c) in methods.items()
-    }
-    return FinalModel(fitted, models, dimension)
+    """Refit on all development rows: (classifier, weight, c) per task.
+
+    ``representation``: one for all tasks, or one per task; tasks that share one are trained in joint
+    passes.
+    """
+    chosen = representation if isinstance(representation, dict) else dict.fromkeys(methods, representation)
+    parts = []
+    for name in dict.fromkeys(chosen[t] for t in methods):
+        targets = {t: f"target_{t.lower()}" for t in methods if chosen[t] == name}
+        docs = rows.select("stable_id", F.col("text_combined").alias("text"), *targets.values())
+        fitted = X.fit_features(docs, X.REPRESENTATIONS[name])
+        data = X.sparse_rows(docs, fitted.transform(docs), fitted.width, dense, dimension)
+        specs = [linear.Spec(t, t, *methods[t]) for t in targets]
+        models = linear.train(data, fitted.width + dimension, targets, scheme.orders, specs)
+        parts.append(FinalPart(fitted, tuple(models), dimension))
+    return FinalModel(tuple(parts))
 
 
 def predict_final(
@@ -339,18 +351,15 @@ def predict_final(
 ) -> DataFrame:
     """Predictions of every task for (stable_id, text_combined), no label in sight."""
     docs = texts.select("stable_id", F.col("text_combined").alias("text"))
-    width = final.features.width
-    vectors = X.as_vectors(docs, final.features.transform(docs), width, dense, final.dense_dimension)
     out = None
-    for task, (model, present) in final.models.items():
-        if model.numFeatures != width + final.dense_dimension:
-            raise IntegrityError(f"{task}: feature width differs from the fitted width")
-        guessed = N.predict(
-            model, present, vectors.withColumn("y_true", F.lit("")), (positive or {}).get(task)
-        ).drop("y_true").withColumn("task", F.lit(task))
-        if "score" not in guessed.columns:
-            guessed = guessed.withColumn("score", F.lit(None).cast("double"))
-        out = guessed if out is None else out.unionByName(guessed)
+    for part in final.parts:
+        width = part.features.width
+        for m in part.models:
+            if m.coefficients.shape[1] != width + part.dense_dimension + 1:
+                raise IntegrityError(f"{m.spec.task}: feature width differs from the fitted width")
+        rows = X.sparse_rows(docs, part.features.transform(docs), width, dense, part.dense_dimension)
+        found = linear.predict(rows, part.models, positive=positive).select("stable_id", "y_pred", "score", "task")
+        out = found if out is None else out.unionByName(found)
     return out
 
 

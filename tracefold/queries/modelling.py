@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracefold.operators import features as X, metrics as M, models as N, split as S
+from tracefold.operators import features as X, linear, metrics as M, split as S
 from tracefold.operators.vectors import encode_documents, hashing_encoder
-from tracefold.plans import modelling as G
+from tracefold.plans import bundles, modelling as G
 from tracefold.plans.prepare import split_rows
 from tracefold.protocol import SEVERITY
 from tracefold.queries.registry import query
@@ -21,6 +21,14 @@ from tracefold.streaming.incremental_audit import (
 )
 
 ORDERS = {"S10": tuple(f"L{i}" for i in range(10)), "S2": ("HIGH", "LOW")}
+POSITIVE = {"S2": "HIGH_IMPACT"}
+
+# The frozen (representation, classifier, weight, c) per task of the fused models.
+FUSED = {
+    "S6": ("S6-R3", "LINEARSVC", "BALANCED", 0.25),
+    "S3": ("S3-R5", "LOGREG", "BALANCED", 2.0),
+    "S2": ("S2-R3", "LOGREG", "BALANCED", 2.0),
+}
 
 
 def _vectors(spark: SparkSession, sf_dir: str, task: str) -> tuple[DataFrame, DataFrame]:
@@ -30,25 +38,28 @@ def _vectors(spark: SparkSession, sf_dir: str, task: str) -> tuple[DataFrame, Da
     third = F.col("vec_id") % 3 == 0
     parts = []
     for part in (rows.filter(~third), rows.filter(third)):
-        docs = part.select("stable_id", "y_true", F.lit("").alias("text"))
-        parts.append(X.as_vectors(docs, None, 0, part, 64))
+        parts.append(X.sparse_rows(part.select("stable_id", "y_true"), None, 0, part, 64))
     return parts[0], parts[1]
 
 
+def _guesses(spark: SparkSession, sf_dir: str, spec: linear.Spec, positive: dict | None = None) -> DataFrame:
+    train, validation = _vectors(spark, sf_dir, spec.task)
+    targets = {spec.task: "y_true"}
+    models = linear.train(train, 64, targets, ORDERS, [spec])
+    return linear.predict(validation, models, targets, positive)
+
+
 @query("dense_logistic_regression")
 def dense_logistic_regression(spark, sf_dir):
     """Ten classes from the vectors: fit on two thirds, one prediction per other row."""
-    train, validation = _vectors(spark, sf_dir, "S10")
-    model, present = N.fit(train, ORDERS["S10"], N.FitConfig("LOGREG", "BALANCED"))
-    return N.predict(model, present, validation)
+    guesses = _guesses(spark, sf_dir, linear.Spec("dense", "S10", "LOGREG", "BALANCED"))
+    return guesses.select("stable_id", "y_true", "y_pred")
 
 
 @query("dense_score_areas")
 def dense_score_areas(spark, sf_dir):
     """Two classes from the vectors: ranking areas of the logistic score."""
-    train, validation = _vectors(spark, sf_dir, "S2")
-    model, present = N.fit(train, ORDERS["S2"], N.FitConfig("LOGREG"))
-    scored = N.predict(model, present, validation, positive="HIGH")
+    scored = _guesses(spark, sf_dir, linear.Spec("dense", "S2", "LOGREG"), {"S2": "HIGH"})
     return M.ranking_areas(scored.select("score", (F.col("y_true") == "HIGH").alias("positive")))
 
 
@@ -66,31 +77,54 @@ def _corpus(spark: SparkSession, sf_dir: str, dimension: int = 32) -> tuple[G.Co
     return corpus, eligible.join(rows.select("stable_id", "membership"), "stable_id")
 
 
+def _board(spark: SparkSession, corpus: G.Corpus, grid: list[G.Experiment], provenance: str) -> DataFrame:
+    results = G.run_grid(corpus, grid, ResultStore(spark, scratch_path(spark, "results")), provenance)
+    return G.staged_board(results).select("task", "configuration_id", "fold_macro_f1", "mean_macro_f1", "rank")
+
+
+@query("lexical_benchmark_board")
+def lexical_benchmark_board(spark, sf_dir):
+    """The 108 fits of tasks, folds, representations, classifiers and weights, ranked."""
+    corpus, _ = _corpus(spark, sf_dir)
+    return _board(spark, corpus, G.benchmark_experiments(SEVERITY.tasks), "lexical")
+
+
 @query("dense_benchmark_board")
 def dense_benchmark_board(spark, sf_dir):
-    """Vector-only grid over three folds, ranked."""
+    """The 36 fits of tasks, folds, classifiers and weights for each of two encoders, ranked per encoder."""
+    out = None
+    for dimension in (32, 64):
+        corpus, _ = _corpus(spark, sf_dir, dimension)
+        board = _board(spark, corpus, G.dense_experiments(SEVERITY.tasks), f"dense-{dimension}")
+        board = board.withColumn("encoder", F.lit(f"HASHED{dimension}"))
+        out = board if out is None else out.unionByName(board)
+    return out
+
+
+@query("fusion_benchmark_board")
+def fusion_benchmark_board(spark, sf_dir):
+    """The 9 fits of the frozen method of each task, terms and vectors fused."""
     corpus, _ = _corpus(spark, sf_dir)
-    store = ResultStore(spark, scratch_path(spark, "results"))
-    grid = [
-        G.Experiment("DENSE", "S2", fold, "LOGREG", "BALANCED", fused=True)
-        for fold in (1, 2, 3)
-    ]
-    results = G.run_grid(corpus, grid, store, "dense")
-    board = G.staged_board(results)
-    return board.select("task", "configuration_id", "fold_macro_f1", "mean_macro_f1", "rank")
+    return _board(spark, corpus, G.fusion_experiments(FUSED), "fusion")
 
 
 @query("holdout_scoring")
 def holdout_scoring(spark, sf_dir):
-    """Refit on development text, predict held-out text, then join labels and score."""
+    """Refit every task on development text, publish, load, then score held-out text once."""
     corpus, every = _corpus(spark, sf_dir)
+    methods = {t: m[1:] for t, m in FUSED.items()}
     final = G.train_final(
-        corpus.rows, SEVERITY, {"S2": ("LOGREG", "BALANCED", 1.0)}, "WORD"
+        corpus.rows, SEVERITY, methods, {t: m[0] for t, m in FUSED.items()}, corpus.dense, corpus.dimension
     )
+    root, identity = scratch_path(spark, "final"), {"protocol": "holdout"}
+    bundles.publish(spark, final, root, identity)
     locked = every.filter("membership = 'LOCKED_TEST'")
-    predictions = materialize(G.predict_final(final, locked, positive={"S2": "HIGH_IMPACT"}), "predictions")
-    scored = G.score_final(predictions, locked, SEVERITY, {"S2": "HIGH_IMPACT"})
-    return scored["metrics"].join(scored["areas"], "task").join(scored["fingerprints"], "task")
+    texts = locked.select("stable_id", F.col("text_combined").alias("text"))
+    dense = materialize(encode_documents(texts, hashing_encoder(corpus.dimension)), "held-out-dense")
+    scored = bundles.score_once(
+        spark, root, scratch_path(spark, "receipts"), identity, locked, locked, SEVERITY, POSITIVE, dense
+    )
+    return scored["metrics"].join(scored["areas"], "task", "left").join(scored["fingerprints"], "task")
 
 
 @query(
