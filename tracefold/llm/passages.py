@@ -121,22 +121,29 @@ def _occurrences(shared):
     return run
 
 
-def _thinned(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of (doc_id, text, mark) whose bit in a bitmap of ``ids.doc`` is set, and the others."""
+_TEXT = "doc_id long, text string, mark long"
+
+
+def _thinned(texts: DataFrame, ids: DataFrame):
+    """A function that gives the rows whose bit in a bitmap of ``ids.doc`` is set, or the others.
+
+    It passes (doc_id, text, mark) through ``then`` in the same task.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(bitmap.build(ids, bitmap.slot_of_id("doc")))
 
-    def part(wanted: bool):
-        def run(batches):
+    def part(wanted: bool, then=None, schema: str = _TEXT) -> DataFrame:
+        def chosen(batches):
             for batch in batches:
                 known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 hit = known & bitmap.hits(shared.value, batch.column(2).to_numpy(zero_copy_only=False))
                 yield batch.select([0, 1, 3]).filter(pa.array(hit == wanted))
 
-        return texts.select("doc_id", "text", bitmap.slot_of_id("doc_id").alias("slot"), "mark").mapInArrow(
-            run, "doc_id long, text string, mark long"
-        )
+        def run(batches):
+            return chosen(batches) if then is None else then(chosen(batches))
+
+        return texts.select("doc_id", "text", bitmap.slot_of_id("doc_id").alias("slot"), "mark").mapInArrow(run, schema)
 
-    return part(True), part(False)
+    return part
 
 
 def _sliced(batches, rows: int = 256):
@@ -266,7 +273,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             F.collect_list(F.struct("first.at", "first.before", "first.after")).alias("asked")
         ), "passage-asked",
     )
-    rows = _thinned(texts, asked)[0].join(
+    rows = _thinned(texts, asked)(True).join(
         asked, (F.col("doc_id") == F.col("doc")) & (F.col("mark") == F.col("asked_mark"))
     ).select("doc_id", "text", "mark", "asked").mapInArrow(
         _cut_contexts, "doc long, mark long, at int, lead int, words array<string>"
@@ -315,10 +322,10 @@ def remove_passages(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("mark", F.xxhash64("text"))
     ranges = repeats(texts)
-    touched, others = _thinned(texts, ranges)
+    part = _thinned(texts, ranges)
     result = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept string"
     return (
-        touched.join(ranges, (F.col("doc_id") == F.col("doc")) & (F.col("mark") == F.col("own_mark")), "left")
+        part(True).join(ranges, (F.col("doc_id") == F.col("doc")) & (F.col("mark") == F.col("own_mark")), "left")
         .select("doc_id", "text", "mark", "ranges")
-        .mapInArrow(_apply, result).unionByName(others.mapInArrow(_apply, result))
+        .mapInArrow(_apply, result).unionByName(part(False, _apply, result))
     )
