@@ -5,8 +5,11 @@ tree builder closes what HTML lets authors leave open (p, li, dt/dd, table parts
 opens a missing row or list item parent only as far as layout needs it, and ignores stray end
 tags.  Text is rendered as it would be seen: blocks on lines of their own, a blank line
 around paragraphs, headings, lists and tables, list markers with indentation, ``pre`` kept,
-table cells padded to aligned columns.  Hidden: head, script, style, template, noscript,
-``hidden``, ``display:none``, ``visibility:hidden``.
+table cells padded to aligned columns.  A cell keeps its own blocks and lists as lines; lines of
+more than ``WIDE`` characters do not widen their column, so padding is bounded.  Hidden: head,
+script, style, template, noscript, embedded documents and media, inputs, ``hidden``,
+``display:none``, ``visibility:hidden``.  A head without end tag ends at the first text or element
+that cannot stand in it.
 
 Defined cases: null html gives null text, empty html an empty text; malformed mark-up never
 fails: an unfinished tag is text.  Depth is not limited by recursion (explicit stacks).
@@ -23,11 +26,12 @@ from pyspark.sql import DataFrame
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body div section article aside header footer main nav form address li dt dd tr caption figcaption details summary "
-    "center dir menu hr legend tbody thead tfoot hgroup search".split()
+    "center dir menu hr legend tbody thead tfoot hgroup search option optgroup".split()
 )
 #: An opening tag closes these open elements, up to a boundary.
 CLOSES = {
@@ -40,14 +44,17 @@ BOUNDARY = {
     "li": frozenset(("ul", "ol", "menu", "dir", "table")), "dt": frozenset(("dl", "table")), "dd": frozenset(("dl", "table")),
     "option": frozenset(("select", "datalist")), "optgroup": frozenset(("select",)),
 }
+#: Cells of longer lines do not widen their column.
+WIDE = 80
 TABLE_EDGE = frozenset(("table",))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[A-Za-z][^\s/>]*)[^>]*>"
-    r"|<(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
+    # Quotes only count where a value starts; elsewhere they are letters.
+    r"|<(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+)|[^>=])*+)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -80,6 +87,8 @@ def parse(source: str) -> Node:
         found = TOKEN.search(source, at)
         text = source[at : found.start() if found else len(source)]
         if text:
+            if stack[-1].tag == "head" and text.strip():
+                stack.pop()
             stack[-1].children.append(html.unescape(text))
         if not found:
             return root
@@ -101,8 +110,8 @@ def parse(source: str) -> Node:
                 close(CLOSES[name], BOUNDARY.get(name, TABLE_EDGE))
             if name in BLOCK:
                 close(("p",), frozenset(("table", "td", "th", "li", "dd", "button", "body", "object")))
-                if stack[-1].tag == "head":
-                    stack.pop()
+            if stack[-1].tag == "head" and name not in HEAD:
+                stack.pop()
             if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
@@ -238,16 +247,16 @@ def render(root: Node) -> str:
             continue
         if tag in ("td", "th", "caption") and tables:
             page.end()
-            cell = " ".join(line.strip() for line in page.lines if line.strip())
+            cell = page.lines
             page = pages.pop()
             if tag == "caption":
-                tables[-1]["caption"] = cell
+                tables[-1]["caption"] = " ".join(line.strip() for line in cell if line.strip())
             else:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
                 span = attributes(node).get("colspan", "1") if node.attrs else "1"
-                wide = min(int(span), 1000) if span.isdecimal() and int(span) else 1
-                tables[-1]["rows"][-1] += [cell, *[""] * (wide - 1)]
+                wide = max(1, min(int(span), 1000)) if re.fullmatch("[0-9]{1,6}", span) else 1
+                tables[-1]["rows"][-1] += [cell, *[[]] * (wide - 1)]
             continue
         if tag == "table" and tables:
             page.end()
@@ -255,9 +264,13 @@ def render(root: Node) -> str:
             rows = [r for r in done["rows"] if any(r)]
             if done["caption"]:
                 page.put(done["caption"])
-            widths = [max(len(r[c]) if c < len(r) else 0 for r in rows) for c in range(max(map(len, rows), default=0))]
+            widths = [0] * max(map(len, rows), default=0)
             for row in rows:
-                page.put("  ".join(cell.ljust(widths[c]) for c, cell in enumerate(row)))
+                for c, cell in enumerate(row):
+                    widths[c] = max(widths[c], *(len(line) for line in cell if len(line) <= WIDE), 0)
+            for row in rows:
+                for n in range(max(map(len, row))):
+                    page.put("  ".join((cell[n] if n < len(cell) else "").ljust(widths[c]) for c, cell in enumerate(row)))
         if tag == "pre":
             pre -= 1
         if tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1):

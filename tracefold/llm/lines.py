@@ -16,8 +16,9 @@ removed; with ``least`` 1 every other line counts.
    of about ``BLOCK`` against ``BLOCK`` lines, each block returning one row per line at most.
 4. Pairs are confirmed by banded bit-parallel edit distance.
 
-Equal lines are told by a 64-bit hash; lines repeat as (id, first place) everywhere, so a
-very frequent line is one node.
+Lines are equal when their 128-bit digests (BLAKE2b) are; half of a digest names a line in the
+edit join, which compares bytes.  Lines repeat as (id, first place) everywhere, so a very
+frequent line is one node.
 
 Defined cases: null text stays null, empty text stays empty.  Rows with a null doc_id are
 left as they are and are no earlier line for others.  Repeated rows hold equal places, which
@@ -27,6 +28,8 @@ are told apart by a text hash.  Other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -53,6 +56,14 @@ def find_lines(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def line_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each line."""
+    view = memoryview(np.ascontiguousarray(data))
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    joined = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans)
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+
+
 def _segment(length: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment ``i``; longer segments stand last."""
     base, longer = length // (tau + 1), length % (tau + 1)
@@ -106,7 +117,7 @@ def join_entries(
 
 
 def _places(least: int):
-    """(doc, text hash, line number, line id) of every line long enough."""
+    """(doc, text hash, line number, line id, other half of its digest) of every line long enough."""
 
     def run(batches):
         for batch in batches:
@@ -114,11 +125,12 @@ def _places(least: int):
                 starts, ends, text = find_lines(data, offsets, least)
                 breaks = np.r_[0, np.cumsum(data == 10)]
                 row = pa.array(text)
+                digest = line_digests(data, starts, ends)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a).take(row), batch.column(1).slice(a, b - a).take(row),
                     pa.array((breaks[starts] - breaks[offsets[text]]).astype(np.int64)),
-                    pa.array(run_hashes(prefix_hashes(data), starts, ends).view(np.int64)),
-                ], names=["doc_id", "text_key", "line_no", "line"])
+                    pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
+                ], names=["doc_id", "text_key", "line_no", "line", "rest"])
 
     return run
 
@@ -144,7 +156,7 @@ def _blocks(buckets: int, ranges: list[tuple[int, int, int]]):
                 if not ranges or not len(starts):
                     continue
                 c = prefix_hashes(data)
-                line, once = np.unique(run_hashes(c, starts, ends).view(np.int64), return_index=True)
+                line, once = np.unique(line_digests(data, starts, ends)[:, 0], return_index=True)
                 for n, low, high in ranges:
                     held.append(join_entries(c, starts[once], ends[once], line, n, low, high))
                     size += held[-1].nbytes
@@ -196,7 +208,7 @@ def _texts(shared, least: int):
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
                 starts, ends, _ = find_lines(data, offsets, least)
-                line, once = np.unique(run_hashes(prefix_hashes(data), starts, ends).view(np.int64), return_index=True)
+                line, once = np.unique(line_digests(data, starts, ends)[:, 0], return_index=True)
                 slots = (line.view(U) >> U(64 - bitmap.LOG)).astype(np.int64)
                 asked = np.flatnonzero(bitmap.hits(shared.value, slots))
                 asked = [i for i in asked.tolist() if line[i] not in sent]
@@ -301,10 +313,10 @@ def removals(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> DataFra
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")
     ).filter("doc_id is not null and text is not null")
     places = materialize(
-        texts.mapInArrow(_places(least), "doc_id long, text_key long, line_no long, line long"), "line-places"
+        texts.mapInArrow(_places(least), "doc_id long, text_key long, line_no long, line long, rest long"), "line-places"
     )
     firsts = materialize(
-        places.groupBy("line").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times")), "line-firsts"
+        places.groupBy("line", "rest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times")), "line-firsts"
     )
     buckets = shuffle_width(docs, 8 << 20)
     ranges = edit_ranges(least, tau)
@@ -335,10 +347,10 @@ def removals(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> DataFra
     )
     # A line matters if it stands in two places or has a neighbour.
     marked = firsts.join(earliest, "line", "left").filter("times > 1 or near is not null").select(
-        "line", F.least("first", F.coalesce("near", "first")).alias("earliest")
+        "line", "rest", F.least("first", F.coalesce("near", "first")).alias("earliest")
     )
     return (
-        places.join(marked, "line").filter(F.col("earliest") < _place())
+        places.join(marked, ["line", "rest"]).filter(F.col("earliest") < _place())
         .groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("removed"))
     )
 
@@ -359,14 +371,21 @@ def _crowded_neighbours(crowded: DataFrame, firsts: DataFrame, candidates: DataF
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> DataFrame:
     """All columns of ``docs``, the text without its removed lines, and ``lines_removed``."""
-    lost = removals(docs, tau, least).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key", "removed": "_removed"})
+    taken = {c.lower() for c in docs.columns}
+    doc, key, removed, parts = (next(n for i in range(len(taken) + 1) if (n := f"_{k}{i}") not in taken)
+                                for k in ("doc", "key", "removed", "lines"))
+    lost = removals(docs, tau, least).withColumnsRenamed({"doc_id": doc, "text_key": key, "removed": removed})
     kept = [c for c in docs.columns if c.lower() != "lines_removed"]
     joined = docs.join(
-        lost, (docs["doc_id"].cast("long") == lost["_doc"]) & (F.xxhash64(docs["text"]) == lost["_key"]), "left"
-    )
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
+        lost, (docs["doc_id"].cast("long") == lost[doc]) & (F.xxhash64(docs["text"]) == lost[key]), "left"
+    ).select(*[docs[c] for c in kept], removed, F.when(F.col(removed).isNotNull(), F.split(docs["text"], "\n", -1)).alias(parts))
+    # The numbers that stay, by a hash set; then one look-up each.
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1).cast("array<bigint>"), F.col(removed))
+    # Bound by the outer lambda, so that the text is cut once and not for every line.
+    left = F.aggregate(F.array(F.col(parts)), F.lit(""), lambda _, p: F.array_join(
+        F.transform(numbers, lambda i: F.get(p, i.cast("int"))), "\n"
+    ))
     return joined.select(
-        *[F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in kept],
-        F.coalesce(F.size("_removed"), F.lit(0)).alias("lines_removed"),
+        *[F.when(F.col(removed).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
+        F.coalesce(F.size(removed), F.lit(0)).alias("lines_removed"),
     )

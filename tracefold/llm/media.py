@@ -155,8 +155,9 @@ def _describe(root: str):
                 width, height, depth = read_header(opened.read_at(min(HEADER_BYTES, row["length"]), row["offset"]))
                 media = opened.read_at(row["length"], row["offset"])
                 payload = decode(media)
-                yield (row["digest"], width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(),
-                       zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
+                yield (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media),
+                       hashlib.sha256(media).hexdigest(), feature(payload), row["digest"], row["shard"], row["offset"],
+                       row["length"], width, height, depth)
         if opened is not None:
             opened.close()
 
@@ -168,7 +169,8 @@ def _describe(root: str):
     return run
 
 
-COLUMNS = ["digest", "width", "height", "bit_depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+COLUMNS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard",
+           "shard_offset", "shard_length", "width", "height", "bit_depth"]
 
 
 def store(docs: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame, str]:
@@ -210,14 +212,19 @@ def store(docs: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFram
 
 
 def described(index: DataFrame, root: str) -> DataFrame:
-    """One row per digest: metadata and the columns computed from the payload as read back."""
+    """One row per digest: columns computed from the payload as read back, its place and its metadata.
+
+    Of equal payloads that two tasks stored, one place is kept.
+    """
     return index.mapInArrow(
         _describe(root),
-        "digest binary, width long, height long, bit_depth long, payload_bytes long, payload_sha256 string, "
-        "tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "digest binary, shard string, shard_offset long, shard_length long, width long, height long, bit_depth long",
     ).dropDuplicates(["digest"])
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_bytes, then the columns of ``described`` (digest in hex)."""
     rows, index, root = store(docs)
-    return rows.join(described(index, root), "digest").drop("digest")
+    columns = [F.lower(F.hex(c)).alias(c) if c == "digest" else F.col(c) for c in COLUMNS]
+    return rows.join(described(index, root), "digest").select("doc_id", "n_bytes", *columns)
