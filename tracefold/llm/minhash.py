@@ -115,10 +115,18 @@ def _block_links(percent: int):
         ends = sets.offsets.to_numpy().astype(np.int64)
         values = sets.values.to_numpy()
         size = np.diff(ends)
-        _, code, times = np.unique(values, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(node)), size)
-        shared = times[code] > 1
-        code, owner = np.unique(code[shared], return_inverse=True)[1], owner[shared]
+        # Numbers only for values that stand in several sets; one sorted copy is all that is held besides.
+        ordered = np.sort(values)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for i in range(len(node)) if len(twice) else ():
+            own = values[ends[i] : ends[i + 1]]
+            place = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+            place = place[twice[place] == own].astype(np.int32)
+            parts.append((place, np.full(len(place), i, np.int32)))
+        code, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         common = np.zeros((len(node), len(node)), np.float32)
         for low in range(0, int(code.max()) + 1 if len(code) else 0, 8192):
             here = (code >= low) & (code < low + 8192)
