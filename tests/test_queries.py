@@ -18,7 +18,8 @@ CHOSEN = (
     "split_class_distribution", "chronological_positions", "eligible_text_rows", "purge_reasons",
     "fold_class_counts", "audit_label_histogram", "audit_duplicate_groups", "header_discovery",
     "lexical_leaderboard", "ranking_areas", "stratified_sample", "token_windows", "char_tfidf_validation",
-    "vector_shard_check_failures", "streamed_event_audit",
+    "vector_shard_check_failures", "streamed_event_audit", "csv_round_trip", "csv_malformed_records", "audit_resume",
+    "schema_missing_columns",
 )
 
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="tables not present")

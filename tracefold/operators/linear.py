@@ -321,7 +321,9 @@ def train(
         i: [_Newton(p, width) for p in problems_of(s, tasks.index(s.task), [counts[s.task][c] for c in present[s.task]])]
         for i, s in enumerate(specs)
     }
-    blocks = packed.rdd
+    # A task per four megabytes of feature numbers: smaller ones would only cost their start in every pass.
+    numbers = packed.agg(F.sum(F.octet_length("feature")).alias("n")).first()["n"] or 0
+    blocks = packed.rdd.coalesce(max(1, -(-numbers // (4 << 20))))
     active = [n for ns in states.values() for n in ns]
     while active:
         work = [(n.problem, *n.ask()) for n in active]
