@@ -82,13 +82,6 @@ def _board(spark: SparkSession, corpus: G.Corpus, grid: list[G.Experiment], prov
     return G.staged_board(results).select("task", "configuration_id", "fold_macro_f1", "mean_macro_f1", "rank")
 
 
-@query("lexical_benchmark_board")
-def lexical_benchmark_board(spark, sf_dir):
-    """The 108 fits of tasks, folds, representations, classifiers and weights, ranked."""
-    corpus, _ = _corpus(spark, sf_dir)
-    return _board(spark, corpus, G.benchmark_experiments(SEVERITY.tasks), "lexical")
-
-
 @query("dense_benchmark_board")
 def dense_benchmark_board(spark, sf_dir):
     """The 36 fits of tasks, folds, classifiers and weights for each of two encoders, ranked per encoder."""
