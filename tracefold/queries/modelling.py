@@ -23,11 +23,11 @@ from tracefold.streaming.incremental_audit import (
 ORDERS = {"S10": tuple(f"L{i}" for i in range(10)), "S2": ("HIGH", "LOW")}
 POSITIVE = {"S2": "HIGH_IMPACT"}
 
-# The frozen (representation, classifier, weight, c) per task of the fused models.
-FUSED = {
-    "S6": ("S6-R3", "LINEARSVC", "BALANCED", 0.25),
-    "S3": ("S3-R5", "LOGREG", "BALANCED", 2.0),
-    "S2": ("S2-R3", "LOGREG", "BALANCED", 2.0),
+# The frozen (classifier, weight, c) per task of the final models.
+METHODS = {
+    "S6": ("LINEARSVC", "BALANCED", 0.25),
+    "S3": ("LOGREG", "BALANCED", 2.0),
+    "S2": ("LOGREG", "BALANCED", 2.0),
 }
 
 
@@ -94,28 +94,16 @@ def dense_benchmark_board(spark, sf_dir):
     return out
 
 
-@query("fusion_benchmark_board")
-def fusion_benchmark_board(spark, sf_dir):
-    """The 9 fits of the frozen method of each task, terms and vectors fused."""
-    corpus, _ = _corpus(spark, sf_dir)
-    return _board(spark, corpus, G.fusion_experiments(FUSED), "fusion")
-
-
 @query("holdout_scoring")
 def holdout_scoring(spark, sf_dir):
     """Refit every task on development text, publish, load, then score held-out text once."""
     corpus, every = _corpus(spark, sf_dir)
-    methods = {t: m[1:] for t, m in FUSED.items()}
-    final = G.train_final(
-        corpus.rows, SEVERITY, methods, {t: m[0] for t, m in FUSED.items()}, corpus.dense, corpus.dimension
-    )
+    final = G.train_final(corpus.rows, SEVERITY, METHODS, "WORD")
     root, identity = scratch_path(spark, "final"), {"protocol": "holdout"}
     bundles.publish(spark, final, root, identity)
     locked = every.filter("membership = 'LOCKED_TEST'")
-    texts = locked.select("stable_id", F.col("text_combined").alias("text"))
-    dense = materialize(encode_documents(texts, hashing_encoder(corpus.dimension)), "held-out-dense")
     scored = bundles.score_once(
-        spark, root, scratch_path(spark, "receipts"), identity, locked, locked, SEVERITY, POSITIVE, dense
+        spark, root, scratch_path(spark, "receipts"), identity, locked, locked, SEVERITY, POSITIVE
     )
     return scored["metrics"].join(scored["areas"], "task", "left").join(scored["fingerprints"], "task")
 
