@@ -38,6 +38,7 @@ def audit_stream(
 ) -> None:
     """Read new Parquet files below ``path`` and fold them into the totals at ``sink``.
 
+    ``path`` is a folder, or a glob of files and folders; ``pattern`` is that of file names.
     ``prepare`` maps the stream to rows, ``aggregate`` groups them.  State and file log
     live in ``checkpoint``; each trigger rewrites the small totals table.
     """
@@ -51,9 +52,11 @@ def audit_stream(
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
+    totals = aggregate(prepare(stream))
+    # A stream without files runs no batch: its totals are empty.
+    spark.createDataFrame([], totals.schema).write.mode("ignore").parquet(f"{sink}/batch=-1")
     query = (
-        aggregate(prepare(stream))
-        .writeStream.outputMode("complete")
+        totals.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(publish)
@@ -68,6 +71,14 @@ def latest_totals(spark: SparkSession, sink: str) -> DataFrame:
     return totals.filter(F.col("batch") == last).drop("batch")
 
 
+def table_glob(folder: str, name: str) -> str:
+    """A glob of the table ``name``, be it one file or a folder of files.
+
+    A stream takes the plain path of one file for a folder of partitions, and refuses it.
+    """
+    return f"{folder}/{name}.parque[t]"
+
+
 def audit_issue_stream(spark: SparkSession, path: str, schema, checkpoint: str, sink: str) -> DataFrame:
     """Issue rows (source_project, record_number and the five text fields) as a stream."""
     audit_stream(
