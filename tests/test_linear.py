@@ -92,3 +92,15 @@ def test_absent_classes_empty_rows_and_limits(spark):
     assert not short.coefficients.any()
     with pytest.raises(ValueError, match="unknown classifier"):
         L.train(rows, 2, {"M": "m"}, ORDERS, [L.Spec("k", "M", "OTHER")])
+
+
+def test_a_dense_block_is_multiplied_whole():
+    rng = np.random.default_rng(2)
+    n, k, width = 7, 4, 9
+    feature = np.tile(np.array([8, 1, 3, 5], np.int32), n)
+    row, value, w = np.repeat(np.arange(n), k), rng.normal(size=n * k), rng.normal(size=(3, width + 1))
+    dense = L._dense(n, feature)
+    assert dense.tolist() == [8, 1, 3, 5]
+    assert np.allclose(L._products(n, row, feature, value, w, dense), L._products(n, row, feature, value, w))
+    assert L._dense(n, np.r_[feature[:-1], 2]) is None
+    assert L._dense(n, np.zeros(n * k, np.int32)) is None
