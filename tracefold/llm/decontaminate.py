@@ -266,11 +266,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared, at=at):
             for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for a, _, data, offsets in pieces(batch.column(at)):
+                for a, b, data, offsets in pieces(batch.column(at)):
+                    clean = np.ones(b - a, bool)
                     for d, *_ in shared.value.search(*word_digests(data, offsets)):
-                        clean[a + d] = False
-                yield batch.filter(pa.array(clean))
+                        clean[d] = False
+                    yield batch.slice(a, b - a).filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

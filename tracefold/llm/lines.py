@@ -42,7 +42,7 @@ TAU = 2
 MIN_BYTES = 24
 HOT = 64
 BLOCK = 256
-FLUSH = 24 << 20  # bytes of entries held by a task before they are emitted
+FLUSH = 8 << 20  # bytes of entries held by a task before they are emitted; sorting holds them three times
 
 _ENTRY = np.dtype([("key", U), ("line", np.int64)])
 

@@ -145,14 +145,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     def run(batches: Iterator[pa.RecordBatch]):
         weights, bias = shared.value
         for batch in batches:
-            scores = np.empty(batch.num_rows)
             for a, b, data, offsets in pieces(batch.column(at)):
                 index, begin = features(data, offsets)
-                scores[a:b] = sigmoid(_means(index, begin, weights) * SCALE + bias)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                names=[*kept, "score", "predicted"],
-            )
+                scores = sigmoid(_means(index, begin, weights) * SCALE + bias)
+                # Piece by piece, so that the texts do not stand a second time whole on their way back.
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(a, b - a).columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
+                    names=[*kept, "score", "predicted"],
+                )
 
     schema = base.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
     return base.mapInArrow(run, schema)
