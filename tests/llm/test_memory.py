@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tracefold.llm import lines, minhash, quality, words
+from tracefold.llm import lines, minhash, quality, substrings, words
 from tracefold.session import materialize
 
 
@@ -23,6 +23,13 @@ def _peak(run) -> float:
         tracemalloc.stop()
 
 
+def _texts(size: int, count: int) -> pa.RecordBatch:
+    letters = np.random.default_rng(7).integers(97, 123, (count, size), dtype=np.uint8)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(count), pa.int64()), pa.array([row.tobytes().decode() for row in letters])], names=["doc_id", "text"]
+    )
+
+
 def _lines(size: int, count: int) -> pa.RecordBatch:
     letters = np.random.default_rng(7).integers(97, 123, (count, size), dtype=np.uint8)
     letters[:, 5::6] = 32
@@ -32,6 +39,19 @@ def _lines(size: int, count: int) -> pa.RecordBatch:
     )
 
 
+def test_op8_anchor_blocks_memory():
+    batch = _texts(2000, 7000)
+    found = [0]
+
+    def run():
+        for out in substrings._anchor_blocks(240)(iter([batch])):
+            found[0] += sum(len(substrings._unpack(x.as_py())) for x in out.column(1))
+
+    assert _peak(run) < 64
+    whole = sum(len(substrings.anchors(d, o)[0]) for _, _, d, o in words.pieces(batch.column(1)))
+    assert found[0] == whole > 0
+
+
 def test_pipeline_stage_memory():
     """Scoring, line keys and signatures of the pipeline's stages, on one Arrow batch each."""
     batch = _lines(2000, 7000)
