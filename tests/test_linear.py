@@ -104,3 +104,32 @@ def test_a_dense_block_is_multiplied_whole():
     assert np.allclose(L._products(n, row, feature, value, w, dense), L._products(n, row, feature, value, w))
     assert L._dense(n, np.r_[feature[:-1], 2]) is None
     assert L._dense(n, np.zeros(n * k, np.int32)) is None
+
+
+def test_entries_by_feature_give_the_products_of_rows(monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 16)
+    r = np.random.default_rng(3)
+    n, width = 40, 30
+    x = r.normal(size=(n, width)) * (r.random((n, width)) < 0.2)
+    x[5] = 0
+    x[:, 7] = 1
+    block = L._block([(np.flatnonzero(v), v[np.flatnonzero(v)], [0]) for v in x]).to_pylist()[0]
+    many, row, feature, value, _ = L._arrays(tuple(block.values()))
+    assert many == n and (np.diff(feature) >= 0).all() and len(value) == np.count_nonzero(x)
+    pieces = L._pieces(row, feature, value)
+    assert max(len(p[-1]) for p in pieces) == 16
+    columns, sums, out = r.normal(size=(3, width + 1)), r.normal(size=(3, n)), np.zeros((3, width + 1))
+    assert np.allclose(L._forward(n, pieces, columns), x @ columns[:, :-1].T + columns[:, -1])
+    L._backward(pieces, sums, out)
+    assert np.allclose(out[:, :-1], sums @ x) and not out[:, -1].any()
+
+
+def test_passes_read_blocks_that_were_packed_once(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(str(i), [i % 5, 5 + i % 2], [1.0, 0.5], "abcd"[i % 4]) for i in range(200)],
+        "stable_id string, indices array<int>, values array<double>, m string",
+    ).repartition(9)
+    parts, plain = [], L._pass
+    monkeypatch.setattr(L, "_pass", lambda blocks, *rest: (parts.append((blocks.getNumPartitions(), blocks.getStorageLevel())), plain(blocks, *rest))[1])
+    L.train(rows, 7, {"M": "m"}, ORDERS, [L.Spec("k", "M", "LOGREG")])
+    assert len(parts) > 1 and all(n == 1 and level.useDisk and not level.useMemory for n, level in parts)
